@@ -8,12 +8,35 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import bpe
+from tallyloom.llm import bpe, line_dedup, quality_rules, secret_scan, token_count
 from tallyloom.sources import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    deduped = line_dedup.dedup_lines(read_table(spark, folder, "documents"), mode="all", min_docs=10)
+    return deduped.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op4_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = secret_scan.scan_secrets(read_table(spark, folder, "documents"))
+    return found.select(
+        "doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_novel"
+    )
+
+
+def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    judged = quality_rules.judge_documents(read_table(spark, folder, "documents"))
+    return judged.select("doc_id", *quality_rules.COUNTS, "base_failed", "kept")
+
+
+def op9_token_count(spark: SparkSession, folder: str) -> DataFrame:
+    return token_count.count_tokens(
+        read_table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048
+    )
+
+
 def op7_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     encoded = bpe.encode_bpe(
         read_table(spark, folder, "documents"),
@@ -30,8 +53,14 @@ def op7_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op7_byte_bpe": op7_byte_bpe}
+    return {
+        "op1_line_dedup": op1_line_dedup,
+        "op4_secret_scan": op4_secret_scan,
+        "op6_quality_rules": op6_quality_rules,
+        "op7_byte_bpe": op7_byte_bpe,
+        "op9_token_count": op9_token_count,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_line_dedup": line_dedup.ORACLE_SQL}
