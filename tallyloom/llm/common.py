@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,3 +52,50 @@ def replace_column(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.Rec
     """The batch with one column's values replaced, cast to that column's type."""
     at = batch.schema.get_field_index(name)
     return batch.set_column(at, batch.schema.field(at), values.cast(batch.schema.field(at).type))
+
+
+def split_words(text: str) -> list[bytes]:
+    """Lower-cased words between ASCII blanks, as UTF-8 bytes."""
+    return text.lower().encode("utf-8", "replace").split()
+
+
+def sum_partials(partials: DataFrame, parts: int) -> dict[int, np.ndarray]:
+    """Sum arrays that tasks give in parts: rows (part int, data binary of zstd-packed float64).
+
+    Parts are dealt out by number and summed as they stream in, so a task holds the
+    sums of its own parts only; the sums, whose size the caller bounds, come back.
+    """
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                values = unpack(data)
+                sums[part] = sums[part] + values if part in sums else values
+        for part, values in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([pack(values)], pa.binary())], names=["part", "data"])
+
+    rows = partials.select("part", "data").repartition(parts, "part").mapInArrow(add, "part int, data binary").collect()
+    return {r["part"]: unpack(bytes(r["data"])) for r in rows}
+
+
+def pack(values: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values, dtype="<f8").tobytes())
+
+
+def unpack(data: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), "<f8")
+
+
+def cut_into(values: np.ndarray, parts: int) -> pa.RecordBatch:
+    """A flat array as ``parts`` rows (part, data)."""
+    pieces = np.array_split(values, parts)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(range(parts), pa.int32()), pa.array([pack(p) for p in pieces], pa.binary())], names=["part", "data"]
+    )
+
+
+def joined_parts(found: dict[int, np.ndarray], size: int, parts: int) -> np.ndarray:
+    """The array again; zeros where no task gave anything."""
+    pieces = np.array_split(np.zeros(size), parts)
+    return np.concatenate([found.get(i, p) for i, p in enumerate(pieces)])

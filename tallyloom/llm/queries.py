@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import bpe, chat_format, line_dedup, quality_rules, secret_scan, simhash_dedup, token_count
+from tallyloom.llm import bpe, chat_format, line_dedup, lm_score, quality_rules, secret_scan, simhash_dedup, token_count
 from tallyloom.sources import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,6 +66,11 @@ def op7_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op10_lm_score(spark: SparkSession, folder: str) -> DataFrame:
+    targets = read_table(spark, folder, "labels").where("quality = 1").select("doc_id")
+    return lm_score.score_documents(read_table(spark, folder, "documents"), targets)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_line_dedup": op1_line_dedup,
@@ -75,6 +80,7 @@ def queries() -> dict[str, Query]:
         "op6_quality_rules": op6_quality_rules,
         "op7_byte_bpe": op7_byte_bpe,
         "op9_token_count": op9_token_count,
+        "op10_lm_score": op10_lm_score,
     }
 
 
