@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import bpe, chat_format, line_dedup, lm_score, quality_rules, secret_scan, simhash_dedup, token_count
+from tallyloom.llm import bpe, chat_format, decontaminate, line_dedup, lm_score, quality_rules, secret_scan, simhash_dedup, token_count
 from tallyloom.sources import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,6 +45,10 @@ def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("doc_id", *quality_rules.COUNTS, "base_failed", "kept")
 
 
+def op8_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.find_leaks(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))
+
+
 def op9_token_count(spark: SparkSession, folder: str) -> DataFrame:
     return token_count.count_tokens(
         read_table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048
@@ -79,6 +83,7 @@ def queries() -> dict[str, Query]:
         "op5_chat_format": op5_chat_format,
         "op6_quality_rules": op6_quality_rules,
         "op7_byte_bpe": op7_byte_bpe,
+        "op8_decontaminate": op8_decontaminate,
         "op9_token_count": op9_token_count,
         "op10_lm_score": op10_lm_score,
     }
