@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,15 +39,26 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage: a checkpoint in the folder that the cluster shares.
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that the cluster shares (``spark.checkpoint.dir``).
 
-    The folder is the session's ``spark.checkpoint.dir``; only where a session
-    names none (tests, a laptop) is a temporary one made.
+    Only where a session names none (tests, a laptop) is a temporary one made.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tallyloom-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage by a checkpoint in the shared folder; for small tables."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def cut_to_table(df: DataFrame, name: str) -> DataFrame:
+    """Cut the lineage by a Parquet table in the shared folder; for whole corpora."""
+    path = f"{shared_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}/{name}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
