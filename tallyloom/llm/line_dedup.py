@@ -21,7 +21,7 @@ rows that share an id and a line number are both first. Other columns pass throu
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -52,10 +52,12 @@ def _positions(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return base + first, base + second
 
 
-def _set_bits(bits: int, hashes: np.ndarray) -> np.ndarray:
-    flags = np.zeros(bits, dtype=bool)
-    for at in _positions(hashes, bits):
-        flags[at] = True
+def _slice_bits(bits: int, part: int, hashes: np.ndarray) -> np.ndarray:
+    """One slice of a filter, packed: the bits of those hashes that belong to it."""
+    own = hashes[hashes >> np.uint64(60) == part]
+    flags = np.zeros(bits // SLICES, dtype=bool)
+    for at in _positions(own, bits):
+        flags[at - part * (bits // SLICES)] = True
     return np.packbits(flags, bitorder="little")
 
 
@@ -73,28 +75,30 @@ def _doc_hashes(text: str) -> tuple[list[bytes], np.ndarray]:
     return keys, np.fromiter((xxhash.xxh64_intdigest(k) for k in keys), np.uint64, len(keys))
 
 
-def twice_seen_filter(texts: DataFrame, max_bits: int = 1 << 28, bits_per_line: int = 12) -> tuple[np.ndarray, int]:
-    """The merged twice-seen filter, packed, and its number of bits."""
-    lines = texts.select(F.sum(F.size(F.split("text", "\n", -1))).alias("n")).first()["n"] or 0
-    bits = int(min(max_bits, max(1 << 14, 1 << int(np.ceil(np.log2(1 + bits_per_line * lines))))))
+def twice_seen_filter(texts: DataFrame, hashes_of: Callable[[list[str]], np.ndarray], expected: int, max_bits: int = 1 << 28, bits_per_key: int = 12) -> tuple[np.ndarray, int]:
+    """The merged twice-seen filter of ``text``'s hashes, packed, and its number of bits.
+
+    ``hashes_of`` gives the hashes of a list of texts; ``expected`` is about how many
+    there are in all.
+    """
+    bits = int(min(max_bits, max(1 << 14, 1 << int(np.ceil(np.log2(1 + bits_per_key * expected))))))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [_doc_hashes(t)[1] for b in batches for s in slices(b) for t in s.column(0).to_pylist()]
+        held = [hashes_of(s.column(0).to_pylist()) for b in batches for s in slices(b)]
         if not held:
             return
         hashes, seen = np.unique(np.concatenate(held), return_counts=True)
-        once, twice = _set_bits(bits, hashes), _set_bits(bits, hashes[seen > 1])
+        repeated = hashes[seen > 1]
         pack = zstandard.ZstdCompressor(level=1).compress
-        step = len(once) // SLICES
-        cuts = [slice(i * step, (i + 1) * step) for i in range(SLICES)]
-        yield pa.RecordBatch.from_pydict(
-            {
-                "part": list(range(SLICES)),
-                "once": [pack(once[c].tobytes()) for c in cuts],
-                "twice": [pack(twice[c].tobytes()) for c in cuts],
-            },
-            schema=pa.schema([("part", pa.int32()), ("once", pa.binary()), ("twice", pa.binary())]),
-        )
+        for part in range(SLICES):
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "part": [part],
+                    "once": [pack(_slice_bits(bits, part, hashes).tobytes())],
+                    "twice": [pack(_slice_bits(bits, part, repeated).tobytes())],
+                },
+                schema=pa.schema([("part", pa.int32()), ("once", pa.binary()), ("twice", pa.binary())]),
+            )
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
@@ -127,7 +131,12 @@ def twice_seen_filter(texts: DataFrame, max_bits: int = 1 << 28, bits_per_line:
 
 def suspected_lines(texts: DataFrame, max_bits: int = 1 << 28) -> DataFrame:
     """doc_id, line, key of each document's first line of every suspected key."""
-    packed, bits = twice_seen_filter(texts, max_bits)
+    lines = texts.select(F.sum(F.size(F.split("text", "\n", -1))).alias("n")).first()["n"] or 0
+
+    def hashes_of(batch: list[str]) -> np.ndarray:
+        return np.concatenate([_doc_hashes(t)[1] for t in batch])
+
+    packed, bits = twice_seen_filter(texts, hashes_of, lines, max_bits)
     shared = texts.sparkSession.sparkContext.broadcast(packed)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

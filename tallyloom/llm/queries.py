@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import bpe, chat_format, decontaminate, line_dedup, lm_score, quality_rules, secret_scan, simhash_dedup, token_count
+from tallyloom.llm import bpe, chat_format, decontaminate, line_dedup, lm_score, quality_rules, secret_scan, simhash_dedup, suffix_dedup, token_count
 from tallyloom.sources import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,17 @@ def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return deduped.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op2_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = suffix_dedup.dedup_repeats(read_table(spark, folder, "documents"), length=100)
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash_dedup.near_duplicates(read_table(spark, folder, "documents"), size=4, most_bits=4)
 
@@ -79,6 +90,7 @@ def op10_lm_score(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_line_dedup": op1_line_dedup,
+        "op2_suffix_dedup": op2_suffix_dedup,
         "op3_simhash": op3_simhash,
         "op4_secret_scan": op4_secret_scan,
         "op5_chat_format": op5_chat_format,
