@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def content_hash(*parts: Column) -> Column:
@@ -36,7 +37,7 @@ def sorted_key(members: Column) -> Column:
 def hmac_fingerprint(key: bytes):
     """A vectorised function: HMAC-SHA256 hex of a text; no built-in has it."""
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def sign(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in texts:
             yield batch.map(lambda t: None if t is None else hmac.new(key, t.encode(), "sha256").hexdigest())
@@ -47,7 +48,7 @@ def hmac_fingerprint(key: bytes):
 def hmac_verified(key: bytes):
     """A vectorised function: whether a fingerprint is that of a text, compared in constant time."""
 
-    @F.pandas_udf("boolean")
+    @F.pandas_udf(T.BooleanType())
     def verify(texts: pd.Series, given: pd.Series) -> pd.Series:
         pairs = zip(texts, given, strict=True)
         return pd.Series([t is not None and g is not None and hmac.compare_digest(hmac.new(key, t.encode(), "sha256").hexdigest(), g) for t, g in pairs])

@@ -1,5 +1,31 @@
 """Sources: where rows come from."""
 
+from tallyloom.sources.files import (
+    all_presets,
+    backup_files,
+    dashboard_signals,
+    deflate,
+    inflate,
+    keys_like,
+    preset_items,
+    range_series,
+    rate_table,
+    signal_catalog,
+    slow_query_log,
+)
 from tallyloom.sources.tables import read_table
 
-__all__ = ["read_table"]
+__all__ = [
+    "all_presets",
+    "backup_files",
+    "dashboard_signals",
+    "deflate",
+    "inflate",
+    "keys_like",
+    "preset_items",
+    "range_series",
+    "rate_table",
+    "read_table",
+    "signal_catalog",
+    "slow_query_log",
+]

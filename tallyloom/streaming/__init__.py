@@ -1 +1,33 @@
+"""Structured Streaming: ingest, merges, throttles and monitors."""
 
+from tallyloom.streaming.pipelines import (
+    capped_log,
+    cooldown_stream,
+    deduplicated,
+    delta_sync,
+    envelopes,
+    gzip_cache,
+    ingest,
+    popularity,
+    quarantine,
+    relation_sync,
+    replay,
+    saturation_monitor,
+    write_alerts,
+)
+
+__all__ = [
+    "capped_log",
+    "cooldown_stream",
+    "deduplicated",
+    "delta_sync",
+    "envelopes",
+    "gzip_cache",
+    "ingest",
+    "popularity",
+    "quarantine",
+    "relation_sync",
+    "replay",
+    "saturation_monitor",
+    "write_alerts",
+]
