@@ -195,7 +195,7 @@ def slow_query_log(spark: SparkSession, path: str) -> DataFrame:
         label(r"Lock_time:\s+([\d.]+)").cast("double").alias("lock_time"),
         label(r"Rows_sent:\s+(\d+)").cast("long").alias("rows_sent"),
         label(r"Rows_examined:\s+(\d+)").cast("long").alias("rows_examined"),
-        F.trim(F.regexp_extract(text, r"(?s)\n([^#\n].*)$", 1)).alias("statement"),
+        F.regexp_extract(text, r"(?s)\n([^#\n].*?)\s*$", 1).alias("statement"),
     )
 
 
