@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -59,11 +60,44 @@ def split_words(text: str) -> list[bytes]:
     return text.lower().encode("utf-8", "replace").split()
 
 
+FAN = 64
+
+
+def merge_tree(partials: DataFrame, parts: int, merge: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """Merge what tasks give for each ``part`` in rounds of ``FAN``, until one row a part is left.
+
+    ``merge`` streams batches of (part, ...) and gives one row for each part it has seen.
+    No task reads more than about ``FAN`` rows of a part, however many tasks there were.
+    """
+    tasks = max(1, partials.rdd.getNumPartitions())
+    names = [f.strip().split(" ")[0] for f in schema.split(",")]
+    partials = partials.withColumn("__from", F.spark_partition_id())
+    while True:
+        groups = -(-tasks // FAN)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            by_group: dict[int, list[pa.RecordBatch]] = {}
+            for batch in batches:
+                for group in pc.unique(batch.column("__from")).to_pylist():
+                    own = batch.filter(pc.equal(batch.column("__from"), group)).select(names)
+                    by_group[group] = [*by_group.get(group, []), own]
+                    if len(by_group[group]) >= 8:
+                        by_group[group] = list(merge(iter(by_group[group])))
+            for group, held in by_group.items():
+                for merged in merge(iter(held)):
+                    yield merged.append_column("__from", pa.array([group] * merged.num_rows, pa.int32()))
+
+        dealt = partials.withColumn("__from", (F.col("__from") % groups).cast("int")).repartition(groups * parts, "part", "__from")
+        partials = dealt.mapInArrow(run, f"{schema}, __from int")
+        if groups == 1:
+            return partials.drop("__from")
+        tasks = groups
+
+
 def sum_partials(partials: DataFrame, parts: int) -> dict[int, np.ndarray]:
     """Sum arrays that tasks give in parts: rows (part int, data binary of zstd-packed float64).
 
-    Parts are dealt out by number and summed as they stream in, so a task holds the
-    sums of its own parts only; the sums, whose size the caller bounds, come back.
+    The sums, whose size the caller bounds, come back to the driver.
     """
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,7 +109,7 @@ def sum_partials(partials: DataFrame, parts: int) -> dict[int, np.ndarray]:
         for part, values in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([pack(values)], pa.binary())], names=["part", "data"])
 
-    rows = partials.select("part", "data").repartition(parts, "part").mapInArrow(add, "part int, data binary").collect()
+    rows = merge_tree(partials.select("part", "data"), parts, add, "part int, data binary").collect()
     return {r["part"]: unpack(bytes(r["data"])) for r in rows}
 
 
