@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyloom.llm.common import BLANKS, id_and_text, replace_column, slices
+from tallyloom.llm.common import BLANKS, id_and_text, merge_tree, replace_column, slices
 from tallyloom.session import cut, prepare
 
 SLICES = 16
@@ -43,9 +43,18 @@ def line_key(line: bytes) -> bytes:
     return line.strip(BLANKS).lower()
 
 
+def spread(hashes: np.ndarray) -> np.ndarray:
+    """Hashes dealt evenly over all values, also where those given are all small."""
+    with np.errstate(over="ignore"):
+        mixed = hashes * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(32)
+        return mixed * np.uint64(0xD6E8FEB86659FD93)
+
+
 def _positions(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """The two bits of each hash; both lie in the slice that the hash's top bits name."""
     per = bits // SLICES
+    hashes = spread(hashes)
     base = (hashes >> np.uint64(60)).astype(np.int64) % SLICES * per
     first = (hashes & np.uint64(0x3FFFFFFF)).astype(np.int64) % per
     second = (hashes >> np.uint64(30) & np.uint64(0x3FFFFFFF)).astype(np.int64) % per
@@ -54,7 +63,7 @@ def _positions(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _slice_bits(bits: int, part: int, hashes: np.ndarray) -> np.ndarray:
     """One slice of a filter, packed: the bits of those hashes that belong to it."""
-    own = hashes[hashes >> np.uint64(60) == part]
+    own = hashes[spread(hashes) >> np.uint64(60) == part]
     flags = np.zeros(bits // SLICES, dtype=bool)
     for at in _positions(own, bits):
         flags[at - part * (bits // SLICES)] = True
@@ -113,14 +122,14 @@ def twice_seen_filter(texts: DataFrame, hashes_of: Callable[[list[str]], np.ndar
                 else:
                     merged[part] = [o, t]
         pack = zstandard.ZstdCompressor(level=1).compress
-        for part, (_, t) in merged.items():
+        for part, (o, t) in merged.items():
             yield pa.RecordBatch.from_pydict(
-                {"part": [part], "twice": [pack(t.tobytes())]},
-                schema=pa.schema([("part", pa.int32()), ("twice", pa.binary())]),
+                {"part": [part], "once": [pack(o.tobytes())], "twice": [pack(t.tobytes())]},
+                schema=pa.schema([("part", pa.int32()), ("once", pa.binary()), ("twice", pa.binary())]),
             )
 
-    built = texts.select("text").mapInArrow(build, "part int, once binary, twice binary")
-    rows = built.repartition(SLICES, "part").mapInArrow(merge, "part int, twice binary").collect()
+    kind = "part int, once binary, twice binary"
+    rows = merge_tree(texts.select("text").mapInArrow(build, kind), SLICES, merge, kind).select("part", "twice").collect()
     packed = np.zeros(bits // 8, np.uint8)
     step = len(packed) // SLICES
     for row in rows:  # max_bits / 8 bytes at most

@@ -30,12 +30,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm.common import id_and_text, slices
 from tallyloom.llm.line_dedup import has_bits, twice_seen_filter
-from tallyloom.session import cut_to_table, prepare
+from tallyloom.session import prepare
 
 GRAM = 32
 #: Bytes that are hashed at once, so that the kernels' arrays stay in the caches.
@@ -187,8 +188,9 @@ def _merge_places(contexts, before, anchor, doc, start, own, places, length) ->
     if not len(order):
         return []
     rows, places_of = row[order], place[order]
-    # all suffixes of an interval stand at one place of their contexts: contexts' own order decides
-    by = np.lexsort((start[own][rows], doc[own][rows], interval))
+    # all suffixes of an interval stand at one distance from their anchors, so the anchors' order decides;
+    # contexts may start later at a document's start, so their own order doesn't
+    by = np.lexsort(((start + before)[own][rows], doc[own][rows], interval))
     first = np.r_[True, interval[by][1:] != interval[by][:-1]]
     later = by[~first]
     begin = column[places_of[later]] - shift[rows[later]]
@@ -272,13 +274,16 @@ def _first_batch(*columns: list) -> pa.RecordBatch:
 
 
 def resolved_spans(firsts: DataFrame, length: int) -> DataFrame:
-    """doc, start, end of the repeats among the tasks' first occurrences."""
+    """doc, start, end of all repeats: those that tasks found by themselves, and those among their first occurrences."""
     schema = pa.schema([("doc", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[int, int, bytes], tuple[int, int]] = {}
         spans: list[tuple[int, int, int]] = []
         for batch in batches:
+            known_spans = pc.is_null(batch.column("context"))
+            yield batch.filter(known_spans).select(["doc", "start", "end"])
+            batch = batch.filter(pc.invert(known_spans))
             columns = (batch.column(c).to_pylist() for c in ("anchor", "before", "context", "doc", "start"))
             for anchor, before, context, doc, start in zip(*columns, strict=True):
                 key, own = (anchor, before, context), (doc, start)
@@ -303,7 +308,8 @@ def resolved_spans(firsts: DataFrame, length: int) -> DataFrame:
             part = zip(*joined[i : i + 50_000], strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in part], schema=schema)
 
-    return firsts.repartition("anchor").mapInArrow(run, "doc long, start long, end long")
+    dealt = firsts.repartition(F.coalesce("anchor", F.xxhash64("doc")))
+    return dealt.mapInArrow(run, "doc long, start long, end long")
 
 
 def repeated_spans(docs: DataFrame, *, length: int = 100, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 1 << 28) -> DataFrame:
@@ -311,10 +317,8 @@ def repeated_spans(docs: DataFrame, *, length: int = 100, id_col: str = "doc_id"
     if length < GRAM + 2:
         raise ValueError(f"length must be {GRAM + 2} or more")
     prepare(docs.sparkSession)
-    found = cut_to_table(first_occurrences(id_and_text(docs, id_col, text_col), length, max_bits), "first_occurrences")
-    merged = resolved_spans(found.where("context is not null").drop("end"), length)
-    local = found.where("context is null").select("doc", "start", "end")
-    return local.union(merged).groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    firsts = first_occurrences(id_and_text(docs, id_col, text_col), length, max_bits)
+    return resolved_spans(firsts, length).groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
 
 def dedup_repeats(docs: DataFrame, *, length: int = 100, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 1 << 28) -> DataFrame:
