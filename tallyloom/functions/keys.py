@@ -118,6 +118,15 @@ def signed_percent(value: Column) -> Column:
     return F.format_string("%+.1f%%", value)
 
 
+def threshold_reason(severity: Column, title: Column, value: Column, comparator: Column, limit: Column, unit: Column) -> Column:
+    text = F.format_string("[%s] %s: Current value %.2f %s threshold %.2f (%s)", severity, title, value, F.coalesce(comparator, F.lit(">")), limit, F.coalesce(unit, F.lit("")))
+    return F.trim(text)
+
+
+def zscore_reason(title: Column, value: Column, z: Column, mean: Column, deviation: Column, threshold: Column) -> Column:
+    return F.format_string("[Z-SCORE] %s: Value %.2f deviates %.2fσ from baseline %.2f (σ=%.2f, threshold=%.1f)", title, value, z, mean, deviation, threshold)
+
+
 def joined_options(options: Column) -> Column:
     return F.array_join(F.filter(options, lambda o: o.isNotNull() & (F.trim(o) != "")), " | ")
 

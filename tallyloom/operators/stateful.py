@@ -161,3 +161,38 @@ def first_of_each(messages: DataFrame, keys: list[str], order: list[str]) -> Dat
     """Idempotent processing: the first message of every key."""
     rank = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
     return messages.withColumn("__rn", rank).where("__rn = 1").drop("__rn")
+
+
+#: Life of a queued message: (state, action) -> state; other pairs leave it as it is.
+QUEUE_MOVES = {
+    (None, "PUBLISH"): "PENDING",
+    ("PENDING", "CONSUME"): "INFLIGHT",
+    ("INFLIGHT", "ACK"): "DONE",
+    ("INFLIGHT", "NACK"): "RETRY",
+    ("INFLIGHT", "REDRIVE"): "PENDING",
+    ("RETRY", "DUE"): "PENDING",
+    ("DLQ", "REPROCESS"): "PENDING",
+    ("DLQ", "DISCARD"): "DONE",
+}
+
+
+def queue_states(actions: DataFrame, message: str, order: list[str], action: str = "action", max_retries: int = 3) -> DataFrame:
+    """``state`` of a message after each action; a refusal past ``max_retries`` goes to the dead letters."""
+
+    def step(held: tuple[str | None, int] | None, row: dict) -> tuple[tuple[str | None, int], str | None]:
+        state, retries = held or (None, 0)
+        now = QUEUE_MOVES.get((state, row[action]), state)
+        if (state, row[action]) == ("INFLIGHT", "NACK"):
+            retries += 1
+            now = "DLQ" if retries > max_retries else "RETRY"
+        elif (state, row[action]) == ("DLQ", "REPROCESS"):
+            retries = 0
+        return (now, retries), now
+
+    return fold(actions, message, order, step, "state", "string")
+
+
+def recover_stalled(rows: DataFrame, as_of: Column, intact: Column, stale: str = "5 minutes") -> DataFrame:
+    """Stalled rows go back to PENDING if their hash holds, else to the dead letters."""
+    late = (F.col("status") == "PROCESSING") & (F.col("locked_at") < as_of - F.expr(f"INTERVAL {stale}"))
+    return rows.withColumn("status", F.when(late & intact, "PENDING").when(late, "DEAD_LETTER").otherwise(F.col("status")))

@@ -37,9 +37,12 @@ def is_ready(part: Column, grade: Column, lines: Column) -> Column:
     return F.coalesce(~blank(part) & ~blank(grade) & (F.size(lines) == 3) & F.exists(lines, lambda x: ~blank(x)), F.lit(False))
 
 
-def preset_costs(items: DataFrame, owner: str, preset: str, costs: tuple[str, ...] = COSTS) -> DataFrame:
-    """Sums of all cost parts for each preset, and their total."""
-    sums = items.groupBy(owner, preset).agg(*(F.sum(F.coalesce(F.col(c), F.lit(0))).cast("decimal(38,2)").alias(c) for c in costs), F.count("*").alias("n_items"))
+def preset_costs(items: DataFrame, owner: str, preset: str, costs: tuple[str, ...] = COSTS, listed: list[str] | None = None) -> DataFrame:
+    """Sums of all cost parts for each preset, and their total; ``listed`` columns come as a sorted array of items."""
+    sums = [F.sum(F.coalesce(F.col(c), F.lit(0))).cast("decimal(38,2)").alias(c) for c in costs]
+    if listed:
+        sums.append(F.array_sort(F.collect_list(F.struct(*listed))).alias("items"))
+    sums = items.groupBy(owner, preset).agg(*sums, F.count("*").alias("n_items"))
     total = F.lit(0).cast("decimal(38,2)")
     for c in costs:
         total = total + F.col(c)
@@ -56,3 +59,21 @@ def secondary_part(slot: Column, part: Column) -> Column:
     """Part of the probability table: shields and soul rings have one of their own."""
     shield = F.coalesce(F.trim(part).contains("포스실드") | F.trim(part).contains("소울링"), F.lit(False))
     return F.when(F.coalesce(slot != "보조무기", F.lit(True)), slot).when(shield, "포스실드").otherwise("보조무기")
+
+
+def starforce_summary(level: Column, star: Column, target: Column) -> Column:
+    """struct of costs (to hundreds) and destructions from ``star`` to ``target``, with and without prevention."""
+    from tallyloom.functions.money import nearest_100
+    from tallyloom.operators.starforce import expected_cost, expected_destroys
+
+    on = F.lit(True)
+    parts = []
+    for name, safe in (("plain", F.lit(False)), ("safe", F.lit(True))):
+        cost = nearest_100(expected_cost(level, star, target, on, on, on, safe).cast("decimal(30,0)"))
+        parts += [cost.cast("decimal(30,0)").alias(f"{name}_cost"), expected_destroys(star, target, on, on, safe).alias(f"{name}_destroys")]
+    return F.struct(*parts)
+
+
+def of_preset(presets: Column, number: Column) -> Column:
+    """The entries of a nested array that belong to one preset; filter rows before computing where that can be done."""
+    return F.filter(presets, lambda p: p["preset_no"] == number)

@@ -405,3 +405,31 @@ def engine_dispatch(spark: SparkSession, folder: str) -> DataFrame:
     items = pmf.select("dist_id").distinct().withColumn("is_dp", F.col("dist_id") % 2 == 0)
     found = D.dispatch(items, engine(2), engine(1), "dist_id")
     return found.select("dist_id", F.round("trials", 6).alias("trials"), F.round("drift", 6).alias("drift"))
+
+
+@query("job_mapping", """
+    SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 0 WHEN 1 THEN 10 WHEN 2 THEN 0 ELSE 10 END AS w_str, CASE p_size % 4 WHEN 0 THEN 10 ELSE 0 END AS w_int,
+           CASE p_size % 4 WHEN 2 THEN 1500 ELSE 40 END AS w_att FROM part""")
+def job_mapping(spark: SparkSession, folder: str) -> DataFrame:
+    jobs = F.array(*map(F.lit, ("비숍", "제논", "데몬어벤져", "없는 직업")))
+    items = read_table(spark, folder, "part").select("p_partkey", F.get(jobs, F.col("p_size") % 4).alias("job"))
+    return FL.job_weights(items, REF.job_weight_table(spark)).select("p_partkey", "w_str", "w_int", "w_att")
+
+
+@query("flame_stage_values", """
+    SELECT p_partkey, CASE WHEN b < 8 THEN stage * CASE WHEN b < 2 THEN 6 WHEN b < 4 THEN 7 ELSE 8 END WHEN b = 8 THEN CASE WHEN stage >= 3 THEN 9 * stage END END AS str_value
+    FROM (SELECT p_partkey, CAST(least(p_size // 10 + 0, 6) AS INTEGER) AS t, CASE WHEN p_size // 10 = 0 THEN 0 WHEN p_size // 10 = 1 THEN 1 WHEN p_size // 10 = 2 THEN 2 WHEN p_size // 10 = 3 THEN 3 WHEN p_size // 10 = 4 THEN 4 ELSE 5 END AS b, CAST(p_partkey % 7 + 1 AS INTEGER) AS stage FROM part)""")
+def flame_stage_values(spark: SparkSession, folder: str) -> DataFrame:
+    items = read_table(spark, folder, "part").select(
+        "p_partkey", FL.level_bucket((F.floor(F.col("p_size") / 10) * 10 + 100).cast("int")).alias("bucket"), F.lit("STR").alias("option"), (F.col("p_partkey") % 7 + 1).cast("int").alias("stage")
+    )
+    values = REF.flame_value_table(spark)
+    return items.join(F.broadcast(values), ["bucket", "option", "stage"], "left").select("p_partkey", F.col("value").alias("str_value"))
+
+
+@query("starforce_table", _chain_sql("p_size * 10", "CASE WHEN p_size * 10 <= 94 THEN 5 WHEN p_size * 10 <= 107 THEN 8 WHEN p_size * 10 <= 117 THEN 10 WHEN p_size * 10 <= 127 THEN 15 WHEN p_size * 10 <= 137 THEN 20 ELSE 22 END", "false", "0.7", "x.c").replace("FROM part)", "FROM part WHERE p_size IN (10, 11, 12, 13, 14, 20))") + """
+    SELECT DISTINCT CAST(lv AS INTEGER) AS level, CAST(floor(e / 100 + 0.5) * 100 AS BIGINT) AS cost FROM r""")
+def starforce_table(spark: SparkSession, folder: str) -> DataFrame:
+    levels = read_table(spark, folder, "part").where(F.col("p_size").isin(10, 11, 12, 13, 14, 20)).select((F.col("p_size") * 10).alias("level")).distinct()
+    target = F.least(S.star_cap(F.col("level")), F.lit(22))
+    return levels.select("level", V.starforce_summary(F.col("level"), F.lit(0), target)["plain_cost"].cast("long").alias("cost"))

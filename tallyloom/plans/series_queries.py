@@ -310,3 +310,41 @@ def idempotent_first(spark: SparkSession, folder: str) -> DataFrame:
 def saturation(spark: SparkSession, folder: str) -> DataFrame:
     counts = _events(spark, folder).groupBy("user_id").agg(F.count("*").alias("n"))
     return counts.select("user_id", F.round(TS.saturation(F.col("n"), F.lit(200.0)), 6).alias("percent"), (F.col("n") > 60).alias("full_"))
+
+
+@query("queue_states", """
+    WITH RECURSIVE o AS (SELECT user_id AS k, event_id, CASE event_type WHEN 'signup' THEN 'PUBLISH' WHEN 'view' THEN 'CONSUME' WHEN 'purchase' THEN 'ACK' WHEN 'error' THEN 'NACK' ELSE 'DUE' END AS a,
+             row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events),
+    f AS (SELECT k, event_id, rn, CASE WHEN a = 'PUBLISH' THEN 'PENDING' END AS state, 0 AS r FROM o WHERE rn = 1
+          UNION ALL SELECT o.k, o.event_id, o.rn, CASE WHEN state IS NULL AND a = 'PUBLISH' THEN 'PENDING' WHEN state = 'PENDING' AND a = 'CONSUME' THEN 'INFLIGHT'
+              WHEN state = 'INFLIGHT' AND a = 'ACK' THEN 'DONE' WHEN state = 'INFLIGHT' AND a = 'NACK' THEN CASE WHEN r + 1 > 3 THEN 'DLQ' ELSE 'RETRY' END
+              WHEN state = 'RETRY' AND a = 'DUE' THEN 'PENDING' ELSE state END, CASE WHEN state = 'INFLIGHT' AND a = 'NACK' THEN r + 1 ELSE r END
+          FROM f JOIN o ON o.k = f.k AND o.rn = f.rn + 1)
+    SELECT event_id, state FROM f""")
+def queue_states(spark: SparkSession, folder: str) -> DataFrame:
+    kinds = {"signup": "PUBLISH", "view": "CONSUME", "purchase": "ACK", "error": "NACK"}
+    action = F.coalesce(*(F.when(F.col("event_type") == k, v) for k, v in kinds.items()), F.lit("DUE"))
+    rows = _events(spark, folder).select("user_id", "event_id", action.alias("action"))
+    return S.queue_states(rows, "user_id", ["event_id"]).select("event_id", "state")
+
+
+@query("total_delta", "SELECT CAST(sum(CASE WHEN event_type = 'error' THEN -1 ELSE 1 END) AS BIGINT) AS total, count(DISTINCT user_id) AS n_keys FROM events")
+def total_delta(spark: SparkSession, folder: str) -> DataFrame:
+    delta = F.when(F.col("event_type") == "error", -1).otherwise(1)
+    return _events(spark, folder).agg(F.coalesce(F.sum(delta), F.lit(0)).alias("total"), F.count_distinct("user_id").alias("n_keys"))
+
+
+@query("line_filter", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events WHERE contains(props, '9') AND CAST(json_extract_string(props, '$.k') AS INTEGER) > 50")
+def line_filter(spark: SparkSession, folder: str) -> DataFrame:
+    k = F.get_json_object("props", "$.k").cast("int")
+    return _events(spark, folder).where(F.col("props").contains("9") & (k > 50)).select("event_id", k.alias("k"))
+
+
+@query("anomaly_reason", """
+    SELECT event_id, '[WARN] ' || event_type || ': Current value ' || printf('%.2f', value) || ' > threshold 50.00 ()' AS reason FROM events WHERE value > 50""")
+def anomaly_reason(spark: SparkSession, folder: str) -> DataFrame:
+    from tallyloom.functions.keys import threshold_reason
+
+    none = F.lit(None).cast("string")
+    text = threshold_reason(F.lit("WARN"), F.col("event_type"), F.col("value"), none, F.lit(50.0), none)
+    return _events(spark, folder).where("value > 50").select("event_id", text.alias("reason"))
