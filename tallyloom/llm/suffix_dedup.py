@@ -41,8 +41,8 @@ from tallyloom.session import prepare
 GRAM = 32
 #: Bytes that are hashed at once, so that the kernels' arrays stay in the caches.
 STRETCH = 1 << 18
-#: Suffixes that one call of the merge holds.
-MERGE = 1 << 21
+#: Suffixes that one call of the merge holds, so that its arrays stay in the caches.
+MERGE = 1 << 17
 FIRSTS = "anchor long, context binary, before int, doc long, start long, end long"
 FIRST_SCHEMA = pa.schema(
     [("anchor", pa.int64()), ("context", pa.binary()), ("before", pa.int32()), ("doc", pa.int64()), ("start", pa.int64()), ("end", pa.int64())]
@@ -116,29 +116,35 @@ def merged_intervals(pairs: np.ndarray, row: np.ndarray, start: np.ndarray, grou
     of one ``group`` can be equal.
     """
     order = np.argsort(group, kind="stable")
-    interval = group[order]
-    order, interval = _repeated(order, interval)
-    odd = length % 2
-    for step in range(length // 2 + odd):
+    first = (row * pairs.shape[1] + start)[order]  # where each suffix starts in the symbols laid out flat
+    order, interval, first = _repeated(order, group[order], first)
+    symbols = pairs.ravel()
+    for step in range((length + 1) // 2):
         if not len(order):
             break
         # the last step of an odd length takes a pair that it has in part taken before
-        column = start[order] + max(0, length - 2 * (step + 1))
-        symbol = pairs[row[order], column]
+        symbol = symbols[first + max(0, length - 2 * (step + 1))]
         placed = np.argsort(symbol, kind="stable")
-        order, interval, symbol = order[placed], interval[placed], symbol[placed]
-        fresh = np.r_[True, (symbol[1:] != symbol[:-1]) | (interval[1:] != interval[:-1])]
-        order, interval = _repeated(order, np.cumsum(fresh))
+        order, interval, first, symbol = order[placed], interval[placed], first[placed], symbol[placed]
+        fresh = np.empty(len(order), bool)
+        fresh[0] = True
+        np.not_equal(symbol[1:], symbol[:-1], out=fresh[1:])
+        fresh[1:] |= interval[1:] != interval[:-1]
+        order, interval, first = _repeated(order, np.cumsum(fresh, dtype=np.int32), first)
     return order, interval
 
 
-def _repeated(order: np.ndarray, interval: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _repeated(order: np.ndarray, interval: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Without the suffixes that are alone in their interval."""
     if not len(order):
-        return order, interval
+        return order, interval, first
+    stay = np.zeros(len(order), bool)
     same = interval[1:] == interval[:-1]
-    stay = np.r_[same, False] | np.r_[False, same]
-    return order[stay], interval[stay]
+    stay[1:] = same
+    stay[:-1] |= same
+    if stay.all():
+        return order, interval, first
+    return order[stay], interval[stay], first[stay]
 
 
 def merge_contexts(contexts: list[bytes], before: np.ndarray, anchor: np.ndarray, doc: np.ndarray, start: np.ndarray, length: int) -> list[tuple[int, int, int]]:
@@ -174,11 +180,9 @@ def _merge_places(contexts, before, anchor, doc, start, own, places, length) ->
     sizes = np.array([len(contexts[i]) for i in own])
     shift = reach - before[own]  # columns before the context's first byte, so that anchors stand in one column
     lo, hi = places.start, places.stop - 1 + length
-    block = np.zeros((len(own), hi - lo + 1), np.uint8)
-    for r, i in enumerate(own):
-        piece = contexts[i][max(0, lo - shift[r]) : max(0, hi - shift[r])]
-        left = max(0, shift[r] - lo)
-        block[r, left : left + len(piece)] = np.frombuffer(piece, np.uint8)
+    width = hi - lo + 1
+    laid = (b"\0" * max(0, s - lo) + contexts[i][max(0, lo - s) : max(0, hi - s)] for i, s in zip(own.tolist(), shift.tolist(), strict=True))
+    block = np.frombuffer(b"".join(x.ljust(width, b"\0") for x in laid), np.uint8).reshape(len(own), width)
     pairs = block[:, :-1].astype(np.uint16) << np.uint16(8) | block[:, 1:]
     column = np.arange(places.start, places.stop)
     fits = (column >= shift[:, None]) & (column + length <= (shift + sizes)[:, None])
