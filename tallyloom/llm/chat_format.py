@@ -199,3 +199,22 @@ def digest_conversations(parts: DataFrame) -> DataFrame:
             yield table(done)
 
     return parts.mapInArrow(run, schema)
+
+
+#: The query's SQL. A turn is escaped if its text ends a turn or looks escaped; that adds a
+#: backslash for each control string in it.
+ORACLE_SQL = r"""
+WITH r AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
+  UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'
+), e AS (
+  SELECT *, CASE WHEN contains(text, '<|im_end|>') OR regexp_matches(text, '<\|\\+(im_start|im_end)\|>')
+                 THEN len(regexp_extract_all(text, '<\|\\*(im_start|im_end)\|>')) ELSE 0 END AS more FROM r
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(12 + length(role) + 1 + length(text) + more + 10 + 1) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""

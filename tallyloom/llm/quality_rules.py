@@ -193,3 +193,37 @@ def keeps(counts: tuple[int, int, int, int, int], bad_host: bool) -> bool:
         return False
     soft = 10 * symbols > chars or 5 * lines > n or chars > 20 * n or chars < 2 * n
     return not (bad_host and soft)
+
+
+#: The query's SQL: the same counts, rules and shrinkage.
+ORACLE_SQL = r"""
+WITH w AS (
+  SELECT doc_id, source, t, regexp_extract_all(t, '[^ \t-\r]+') AS ws FROM (SELECT doc_id, source, coalesce(text, '') AS t FROM documents)
+), win AS (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS c
+  FROM (SELECT doc_id, i, array_to_string(ws[i:i + 4], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM w))
+), rep AS (
+  SELECT doc_id, count(DISTINCT i + o) AS n FROM win, (VALUES (0), (1), (2), (3), (4)) v(o) WHERE c > 1 GROUP BY doc_id
+), lin AS (
+  SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM w)
+  WHERE regexp_matches(line, '[^ \t-\r]') GROUP BY doc_id
+), c AS (
+  SELECT w.doc_id, source, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+         CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         coalesce(lin.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words
+  FROM w LEFT JOIN lin USING (doc_id) LEFT JOIN rep USING (doc_id)
+), j AS (
+  SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+         10 * n_symbols > word_chars OR 5 * n_dup_lines > n_words OR word_chars > 20 * n_words OR word_chars < 2 * n_words AS soft FROM c
+), h AS (
+  SELECT source, count(*) AS n, CAST(count(*) FILTER (WHERE base_failed OR soft) AS DOUBLE) AS f FROM j GROUP BY source
+), m AS (
+  SELECT sum(f) / sum(n) AS mean, greatest(sum(n * (f / n) * (f / n)) / sum(n) - (sum(f) / sum(n)) * (sum(f) / sum(n)), 0) AS spread FROM h
+), p AS (
+  SELECT mean, least(greatest(mean * (1 - mean) / greatest(spread, 1e-6) - 1, 1.0), 1000.0) AS s FROM m
+), b AS (
+  SELECT source, (f + mean * s) / (n + s) > 0.5 AS bad FROM h, p
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT (bad AND soft) AS kept
+FROM j LEFT JOIN b ON j.source IS NOT DISTINCT FROM b.source
+"""

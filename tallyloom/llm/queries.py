@@ -104,4 +104,8 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.ORACLE_SQL}
+    return {
+        "op1_line_dedup": line_dedup.ORACLE_SQL,
+        "op5_chat_format": chat_format.ORACLE_SQL,
+        "op6_quality_rules": quality_rules.ORACLE_SQL,
+    }
