@@ -212,14 +212,15 @@ def test_pipeline_against_its_parts(spark):
 
 
 @needs_data
-def test_queries_run_and_line_sql_agrees(spark):
+def test_queries_with_sql_agree(spark):
     import duckdb
 
     from tallyloom.llm import queries
 
     folder = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
+    for table in ("documents", "conversations"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet'")
     for name, sql in queries.oracle_sql().items():
         ours = sorted(tuple(r[c] for c in sorted(r.asDict())) for r in queries.queries()[name](spark, folder).collect())
         found = con.execute(sql)
