@@ -14,13 +14,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tallyloom.session import cut
+
 TOLERANCE = 1e-12
 NEGATIVE = -1e-15
 
 
-def once_per_tuple(df: DataFrame, keys: list[str], compute: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Compute distinct key tuples once and join the results back to every row."""
-    return df.join(compute(df.select(*keys).distinct()), keys, "left")
+def once_per_tuple(df: DataFrame, keys: list[str], compute: Callable[[DataFrame], DataFrame], max_broadcast: int = 1_000_000) -> DataFrame:
+    """Compute distinct key tuples once and join the results back to every row.
+
+    The tuples are found by one scan of the keys, combined before the shuffle, and cut off
+    from it, so ``compute`` may read them again and again. Up to ``max_broadcast`` results
+    are broadcast: the rows themselves aren't shuffled, however few and hot the tuples are.
+    """
+    results = cut(compute(cut(df.select(*keys).distinct())))
+    side = F.broadcast(results) if results.count() <= max_broadcast else results
+    return df.join(side, keys, "left")
 
 
 def kahan_sum(values: Column) -> Column:
