@@ -64,8 +64,11 @@ def _folded(level, start, target, catch, event, discount, prevention, destroys:
     first = F.struct(*(zero.alias(n) for n in ("a", "b", "a12", "b12", "a0", "b0")))
     stars = F.when(target >= 1, F.sequence(target - 1, F.lit(0), F.lit(-1))).otherwise(F.array().cast("array<int>"))
 
-    def step(acc: Column, star: Column) -> Column:
-        s = stage(star, level, catch, event, discount, prevention)
+    # stages are evaluated once each, before the fold uses their parts again and again
+    stages = F.transform(stars, lambda star: F.struct(star.alias("star"), stage(star, level, catch, event, discount, prevention).alias("at")))
+
+    def step(acc: Column, entry: Column) -> Column:
+        star, s = entry["star"], entry["at"]
         total = s["p"] + s["d"]
         stuck = total < TINY
         own = s["d"] if destroys else s["c"]
@@ -84,7 +87,7 @@ def _folded(level, start, target, catch, event, discount, prevention, destroys:
         reset = F.when(target <= R.RESET_STAR, zero).otherwise(acc["b12"] / (1 - acc["a12"]))
         return acc["a0"] * reset + acc["b0"]
 
-    return F.aggregate(stars, first, step, close)
+    return F.aggregate(stages, first, step, close)
 
 
 def expected_cost(level: Column, start: Column, target: Column, catch: Column, event: Column, discount: Column, prevention: Column) -> Column:
