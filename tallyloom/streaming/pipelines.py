@@ -48,23 +48,26 @@ def deduplicated(messages: DataFrame, keys: list[str], window: str = "5 minutes"
 
 
 class Store:
-    """A versioned Parquet table."""
+    """A versioned Parquet table; of its versions the last ``keep`` stay, for readers that began before."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, keep: int = 3):
+        self.spark, self.path, self.keep = spark, path.rstrip("/"), keep
 
     def _files(self):
         jvm = self.spark._jvm
         path = jvm.org.apache.hadoop.fs.Path(self.path)
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
 
-    def version(self) -> int | None:
+    def versions(self) -> list[int]:
+        """Whole versions, oldest first."""
         files, path = self._files()
         if not files.exists(path(self.path)):
-            return None
-        done = [s.getPath().getName() for s in files.listStatus(path(self.path))]
-        done = [int(n[1:]) for n in done if n.startswith("v") and files.exists(path(f"{self.path}/{n}/_SUCCESS"))]
-        return max(done, default=None)
+            return []
+        names = [s.getPath().getName() for s in files.listStatus(path(self.path))]
+        return sorted(int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit() and files.exists(path(f"{self.path}/{n}/_SUCCESS")))
+
+    def version(self) -> int | None:
+        return max(self.versions(), default=None)
 
     def read(self) -> DataFrame | None:
         version = self.version()
@@ -76,6 +79,9 @@ class Store:
         if now is not None and now >= batch:
             return
         change(self.read()).write.mode("overwrite").parquet(f"{self.path}/v{batch}")
+        files, path = self._files()
+        for old in self.versions()[: -self.keep]:
+            files.delete(path(f"{self.path}/v{old}"), True)
 
 
 def _latest(rows: DataFrame, keys: list[str], order: str) -> DataFrame:

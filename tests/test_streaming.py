@@ -110,3 +110,12 @@ def test_capped_log(spark, tmp_path, most):
     write(src, "2.json", [json.dumps({"ts": 4})])
     ST.capped_log(json_stream(spark, src, "ts long"), str(tmp_path / "s"), str(tmp_path / "cp"), "ts", most).awaitTermination()
     assert sorted(r["ts"] for r in Store(spark, str(tmp_path / "s")).read().collect()) == [3, 4]
+
+
+def test_store_keeps_few_versions_and_skips_repeats(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"), keep=2)
+    assert store.read() is None
+    for n in range(4):
+        store.merge(n, lambda old: spark.range(1) if old is None else old.union(spark.range(1)))
+    store.merge(2, lambda old: spark.range(99))  # a batch that comes again
+    assert store.versions() == [2, 3] and store.read().count() == 4
