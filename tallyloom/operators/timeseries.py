@@ -134,13 +134,21 @@ def histogram_quantile(buckets: DataFrame, keys: list[str], q: float, le: str =
     return first.groupBy(*keys).agg(F.min("__v").alias("quantile"))
 
 
-def golden_signals(requests: DataFrame, keys: list[str], latency: str, failed: Column) -> DataFrame:
-    """Latency percentiles (interpolated), mean, max, traffic and error rate of each group."""
+def golden_signals(requests: DataFrame, keys: list[str], latency: str, failed: Column, accuracy: int | None = None) -> DataFrame:
+    """Latency percentiles, mean, max, traffic and error rate of each group.
+
+    Percentiles are exact and interpolated, which needs memory for a group's different
+    values; ``accuracy`` takes approximate ones, of bounded memory, for large groups.
+    """
+
+    def percentile(q: float) -> Column:
+        return F.expr(f"percentile(`{latency}`, {q})") if accuracy is None else F.percentile_approx(latency, q, accuracy)
+
     return requests.groupBy(*keys).agg(
         F.count("*").alias("n"),
-        F.expr(f"percentile(`{latency}`, 0.5)").alias("p50"),
-        F.expr(f"percentile(`{latency}`, 0.95)").alias("p95"),
-        F.expr(f"percentile(`{latency}`, 0.99)").alias("p99"),
+        percentile(0.5).alias("p50"),
+        percentile(0.95).alias("p95"),
+        percentile(0.99).alias("p99"),
         F.avg(latency).alias("mean"),
         F.max(latency).alias("most"),
         (F.sum(F.when(failed, 1).otherwise(0)) / F.count("*")).alias("error_rate"),
