@@ -124,9 +124,15 @@ _TEN = Context(prec=10, rounding=ROUND_HALF_UP)
 _EXACT = Context(prec=60, rounding=ROUND_HALF_UP)
 
 
+def noljang_tries(star: int, catch: bool = True) -> tuple[Decimal, Decimal]:
+    """Expected attempts and failures at a star, to ten significant digits."""
+    rate = min(R.NOLJANG_SUCCESS[star] * 1.05, 1.0) if catch else R.NOLJANG_SUCCESS[star]
+    success = Decimal(repr(rate))
+    return _TEN.divide(Decimal(1), success), _TEN.divide(Decimal(repr(1.0 - rate)), success)
+
+
 def noljang_star_cost(star: int, level: int, catch: bool, discount: bool) -> Decimal:
     """Expected cost of one star of the chain that only fails; quotients have ten significant digits."""
-    rate = min(R.NOLJANG_SUCCESS[star] * 1.05, 1.0) if catch else R.NOLJANG_SUCCESS[star]
     cubed = max(1, level) ** 3
     if star < 10:
         part = _TEN.divide(Decimal(cubed * (star + 1)), Decimal(36))
@@ -135,8 +141,7 @@ def noljang_star_cost(star: int, level: int, catch: bool, discount: bool) -> Dec
         part = _TEN.divide(_EXACT.multiply(Decimal(cubed), power), Decimal(R.STAR_DIVISOR[star]))
     hundreds = ((1000 + part) / 100).quantize(Decimal(1), rounding=ROUND_HALF_UP)
     attempt = hundreds * 100 * (Decimal("0.7") if discount else 1)
-    tries = _TEN.divide(Decimal(1), Decimal(repr(rate)))
-    fails = _TEN.divide(Decimal(repr(1.0 - rate)), Decimal(repr(rate)))
+    tries, fails = noljang_tries(star, catch)
     return _EXACT.add(_EXACT.multiply(attempt, tries), _EXACT.multiply(Decimal(R.NOLJANG_FAIL_COST), fails))
 
 

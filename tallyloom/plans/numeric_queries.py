@@ -254,7 +254,14 @@ def star_rates(spark: SparkSession, folder: str) -> DataFrame:
     return read_table(spark, folder, "part").select("p_partkey", S.success_rate(F.col("p_size")).alias("success"), S.destroy_rate(F.col("p_size")).alias("destroy"))
 
 
-@query("noljang_cost")
+_TRIES = ", ".join(f"({s}, {REF.STAR_DIVISOR[s]}, {t}::DECIMAL(18,12), {f}::DECIMAL(18,12))" for s, (t, f) in enumerate(map(S.noljang_tries, range(15))))
+
+
+@query("noljang_cost", f"""WITH n(s, dv, tries, fails) AS (VALUES {_TRIES}),
+    h AS (SELECT p_partkey, tries, fails, CAST(floor((1000 + CASE WHEN s < 10 THEN pow(p_size * 5, 3) * (s + 1) / 36.0 ELSE pow(p_size * 5, 3) * pow(s + 1.0, 2.7) / dv END) / 100 + 0.5) AS DECIMAL(24,0)) AS hundreds
+      FROM part JOIN n ON s < p_partkey % 16)
+    SELECT p_partkey, CAST(round(coalesce(c, 0)) AS BIGINT) AS cost FROM part
+      LEFT JOIN (SELECT p_partkey, sum(hundreds * 70 * tries + 150400000::DECIMAL(20,0) * fails) AS c FROM h GROUP BY 1) USING (p_partkey)""")
 def noljang_cost(spark: SparkSession, folder: str) -> DataFrame:
     items = read_table(spark, folder, "part").select("p_partkey", (F.col("p_size") * 5).alias("level"), F.lit(0).alias("start"), (F.col("p_partkey") % 16).cast("int").alias("target"))
     keys = ["level", "start", "target"]

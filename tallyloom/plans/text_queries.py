@@ -189,7 +189,7 @@ def joined_options(spark: SparkSession, folder: str) -> DataFrame:
     return read_table(spark, folder, "part").select("p_partkey", K.joined_options(F.array(F.col("p_name"), F.lit(None), F.lit(" "), F.col("p_type"))).alias("line"))
 
 
-@query("gzip_cache")
+@query("gzip_cache", "SELECT c_custkey, c_name FROM customer")
 def gzip_cache(spark: SparkSession, folder: str) -> DataFrame:
     """Compressed response cache and its way back."""
     from tallyloom.sources import inflate
