@@ -1,16 +1,24 @@
 """LM scoring by cross-entropy difference of two matched bigram models.
 
 Both models, one of the target documents and one of all documents (the background),
-share a vocabulary: the ``vocabulary`` most frequent words of the whole corpus, ties
-by the word, everything else being one unknown word. Both are bigram models with the
-same Dirichlet smoothing towards their unigrams, and their bigram counts are kept in
-the same ``buckets`` hash buckets. A document's score is the mean over its tokens of
-target loss less background loss: the lower, the more it is like the target.
-
-Three passes: words are counted (combined per task, then shuffled by word), bigrams
-are counted (summed per task into the buckets, then by slices of buckets), documents
-are scored. All documents enter the counts; what is broadcast, vocabulary and
-buckets, has a size set by the parameters alone.
+are bigram models with the same Dirichlet smoothing towards their unigrams, over all
+words of the corpus. A document's score is the mean over its tokens of target loss
+less background loss: the lower, the more it is like the target.
+
+Counts are exact and stay distributed. A first pass counts tokens and distinct words.
+Then texts are read in chunks of about ``CHUNK_BYTES``: a chunk keeps its texts as word
+numbers and sends its distinct words and bigrams with their counts to parts of the key
+space, whose number grows with the corpus. A part sums the counts of all chunks and
+answers each with the sums of the keys it sent; a chunk scores its texts by its
+answers. Two shuffles, no table; nothing but a few totals comes
+to the driver, and nothing is broadcast but the targets' ids (up to a checked number).
+Keys are 64-bit hashes of words and of pairs of them: n distinct keys have about
+n^2 / 2^65 colliding pairs (0.03 at 10^9).
+
+Given ``vocabulary`` and ``bucket_bits``, counts are bounded instead: the
+``vocabulary`` most frequent words, ties by the word, the rest being one unknown word,
+and bigram counts in hash buckets shared by both models. Memory is then set by the
+parameters, and losses grow worse with the corpus as bigrams share buckets.
 
 Defined results: a null or empty text has 0 tokens and null losses and score; without
 target documents both models are smoothed alike and the target one is uniform; a
@@ -19,11 +27,15 @@ null id is never a target; repeated rows count each; other columns are ignored.
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import count as counter
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +46,15 @@ PARTS = 16
 UNKNOWN, BEGIN = 0, 1
 FIRST_WORD = 2
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
+#: Bytes of text of a chunk, and for each part of the key space.
+CHUNK_BYTES, PART_BYTES = 8 << 20, 8 << 20
+#: Tokens that are scored at once.
+BLOCK = 1 << 17
+BEGIN_KEY = np.uint64(0xD6E8FEB86659FD93)
+SENT = ("<u8", "<u4", "<u4") * 2  # words, their counts in all texts and in targets; bigrams and theirs
+ANSWERED = ("<i8",) * 4  # counts of words in all texts and in targets; of bigrams
+KEPT = ("<i8", "u1", "<i8", "<u8", "<u4")  # ids, whether null, numbers of tokens; keys of words, word numbers of tokens
+SCORES = "doc_id long, n_tokens long, loss_target double, loss_background double, score double"
 
 
 def mark_targets(docs: DataFrame, targets: DataFrame, id_col: str, text_col: str, max_broadcast: int = 1_000_000) -> DataFrame:
@@ -112,22 +133,212 @@ class Model:
         return -np.log((joint + self.strength * self.unigram[ids]) / (context + self.strength))
 
 
+def pack_columns(columns: list[np.ndarray], kinds: tuple[str, ...]) -> bytes:
+    """Arrays as one compressed string, by planes of bytes, since high bytes are mostly zero."""
+    arrays = [np.ascontiguousarray(c, dtype=k) for c, k in zip(columns, kinds, strict=True)]
+    planes = [a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() for a in arrays]
+    sizes = np.array([len(a) for a in arrays], "<i8").tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(b"".join([sizes, *planes]))
+
+
+def unpack_columns(data: bytes, kinds: tuple[str, ...]) -> list[np.ndarray]:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    at, columns = 8 * len(kinds), []
+    for n, kind in zip(raw[:at].view("<i8").tolist(), kinds, strict=True):
+        width = np.dtype(kind).itemsize
+        columns.append(np.ascontiguousarray(raw[at : at + n * width].reshape(width, n).T).view(kind).ravel())
+        at += n * width
+    return columns
+
+
+def bigram_keys(words: np.ndarray, tokens: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Key of every token's bigram, and the numbers of the words before; len(words) is the begin of a text."""
+    before = np.empty_like(tokens)
+    before[1:] = tokens[:-1]
+    before[(np.cumsum(sizes) - sizes)[sizes > 0]] = len(words)
+    return np.r_[words, BEGIN_KEY][before] * SPREAD + words[tokens], before
+
+
+class Chunk:
+    """Texts as numbers of the chunk's own words."""
+
+    def __init__(self):
+        self.index: defaultdict[bytes, int] = defaultdict(counter().__next__)
+        self.n_bytes, self.ids, self.targets, self.sizes, self.tokens = 0, [], [], [], []
+
+    def add(self, piece: pa.RecordBatch) -> None:
+        index = self.index
+        for text in piece.column("text").to_pylist():
+            found = [index[w] for w in split_words(text)]
+            self.sizes.append(len(found))
+            self.tokens.append(np.array(found, np.uint32))
+        self.ids += piece.column("doc_id").to_pylist()
+        self.targets.append(piece.column("target").to_numpy(zero_copy_only=False).astype(bool))
+        self.n_bytes += piece.nbytes
+
+    def rows(self, number: int, parts: int) -> Iterator[pa.RecordBatch]:
+        """The chunk's texts (part -1) and what it sends to the parts."""
+        words = np.fromiter(map(xxhash.xxh64_intdigest, self.index), np.uint64, len(self.index))
+        sizes, tokens, targets = np.array(self.sizes, np.int64), np.concatenate(self.tokens), np.concatenate(self.targets)
+        keys, _ = bigram_keys(words, tokens, sizes)
+        wanted = np.repeat(targets, sizes)
+        sent = []
+        for found in (words[tokens], keys):
+            distinct, n = np.unique(found, return_counts=True)
+            some, n_some = np.unique(found[wanted], return_counts=True)
+            n_target = np.zeros_like(n)
+            n_target[np.searchsorted(distinct, some)] = n_some
+            sent.append((distinct, n, n_target))
+        # parts are equal ranges of keys, so that answers by part are in the order of keys
+        edges = [range_edges(k[0], parts) for k in sent]
+        null = [i is None for i in self.ids]
+        kept = pack_columns([np.array([i or 0 for i in self.ids]), null, sizes, words, tokens], KEPT)
+        yield _row(number, -1, kept)
+        for part in range(parts):
+            slots = [slice(e[part], e[part + 1]) for e in edges]
+            if any(s.stop > s.start for s in slots):
+                yield _row(number, part, pack_columns([c[s] for k, s in zip(sent, slots, strict=True) for c in k], SENT))
+
+
+def _row(chunk: int, part: int, data: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([part], pa.int64()), pa.array([data], pa.binary())], names=["chunk", "part", "data"])
+
+
+def range_edges(keys: np.ndarray, parts: int) -> list[int]:
+    """Where each of ``parts`` equal ranges begins in sorted keys, and the end."""
+    return [*np.searchsorted(keys, np.array([(p << 64) // parts for p in range(parts)], np.uint64)).tolist(), len(keys)]
+
+
+def corpus_totals(marked: DataFrame, parts: int) -> tuple[int, list[int], list[int]]:
+    """Distinct words; tokens, and texts that have any, of all texts and of the targets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words: set[bytes] = set()
+        sums = np.zeros(4, np.int64)
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            keys = np.sort(np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)))
+            edges = range_edges(keys, parts)
+            for part, (lo, hi) in enumerate(zip(edges, edges[1:])):
+                yield _row(0, part, pack_columns([keys[lo:hi], sums if part == 0 else np.zeros(4)], ("<u8", "<i8")))
+            words.clear()
+            sums[:] = 0
+
+        for batch in batches:
+            for piece in slices(batch, CHUNK_BYTES // 4):
+                for text, target in zip(piece.column("text").to_pylist(), piece.column("target").to_pylist(), strict=True):
+                    found = split_words(text)
+                    words.update(found)
+                    sums += (len(found), len(found) * target, bool(found), bool(found) * target)
+                if len(words) > 500_000:
+                    yield from rows()
+        if words:
+            yield from rows()
+
+    def merge(table: pa.Table) -> pa.Table:
+        got = [unpack_columns(d, ("<u8", "<i8")) for d in table.column("data").to_pylist()]
+        sums = np.sum([g[1] for g in got], axis=0)
+        return pa.table({"n_words": [len(np.unique(np.concatenate([g[0] for g in got])))]} | {c: [int(v)] for c, v in zip("abcd", sums, strict=True)})
+
+    rows = marked.mapInArrow(run, "chunk long, part long, data binary")
+    merged = rows.groupBy("part").applyInArrow(merge, "n_words long, a long, b long, c long, d long")
+    n_words, *sums = merged.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("n_words", *"abcd"))).first()
+    return n_words, sums[:2], sums[2:]
+
+
+def summed_part(table: pa.Table) -> pa.Table:
+    """Answers of one part to the chunks that sent keys to it; a chunk's texts pass."""
+    if table.column("part")[0].as_py() < 0:
+        return table.select(["chunk", "part", "data"])
+    rows = [unpack_columns(d, SENT) for d in table.column("data").to_pylist()]
+    answers: list[list[np.ndarray]] = [[] for _ in rows]
+    for at in (0, 3):
+        ends = np.cumsum([len(r[at]) for r in rows])[:-1]
+        distinct, which = np.unique(np.concatenate([r[at] for r in rows]), return_inverse=True)
+        for side in (1, 2):
+            total = np.bincount(which, np.concatenate([r[at + side] for r in rows]), len(distinct)).astype(np.int64)  # exact up to 2^53
+            for own, part in zip(answers, np.split(total[which], ends), strict=True):
+                own.append(part)
+    return pa.table(
+        {
+            "chunk": table.column("chunk"),
+            "part": table.column("part"),
+            "data": pa.array([pack_columns(a, ANSWERED) for a in answers], pa.binary()),
+        }
+    )
+
+
+def score_exactly(marked: DataFrame, strength: float) -> DataFrame:
+    """Scores of all texts by exact counts."""
+    n_bytes = marked.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(1, -(-n_bytes // PART_BYTES))
+    n_words, n_tokens, n_texts = corpus_totals(marked, -(-parts // 8))
+    size = n_words + FIRST_WORD
+
+    def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, chunk = TaskContext.get().partitionId() << 32, Chunk()
+        for batch in batches:
+            for piece in slices(batch, CHUNK_BYTES // 4):
+                chunk.add(piece)
+                if chunk.n_bytes >= CHUNK_BYTES:
+                    yield from chunk.rows(number, parts)
+                    number, chunk = number + 1, Chunk()
+        if chunk.ids:
+            yield from chunk.rows(number, parts)
+
+    def score(table: pa.Table) -> pa.Table:
+        (_, texts), *answers = sorted(zip(table.column("part").to_pylist(), table.column("data").to_pylist(), strict=True))
+        ids, null, sizes, words, tokens = unpack_columns(texts, KEPT)
+        keys, before = bigram_keys(words, tokens, sizes)
+        word_of = np.unique(words, return_inverse=True)[1]
+        bigram_of = np.unique(keys, return_inverse=True)[1].astype(np.uint32)
+        got = [unpack_columns(d, ANSWERED) for _, d in answers]
+        seen = [np.concatenate([g[i] for g in got]) if got else np.empty(0, np.int64) for i in range(4)]
+        ends = np.cumsum(sizes)
+        losses = {}
+        for side, name in enumerate(("loss_background", "loss_target")):
+            n = seen[side][word_of]
+            unigram = strength * (n + 1.0) / (n_tokens[side] + n_texts[side] + size)
+            context = np.r_[n, n_texts[side]] + strength
+            total = np.zeros(len(tokens) + 1)
+            for at in range(0, len(tokens), BLOCK):
+                own = slice(at, at + BLOCK)
+                joint = seen[2 + side][bigram_of[own]] + unigram[tokens[own]]
+                total[at + 1 : at + 1 + len(joint)] = -np.log(joint / context[before[own]])
+            np.cumsum(total, out=total)
+            losses[name] = (total[ends] - total[ends - sizes]) / np.maximum(sizes, 1)
+        target, background = losses["loss_target"], losses["loss_background"]
+        empty = sizes == 0
+        columns = {"doc_id": pa.array(ids, mask=null.astype(bool)), "n_tokens": pa.array(sizes)}
+        columns |= {"loss_target": pa.array(target, mask=empty), "loss_background": pa.array(background, mask=empty)}
+        return pa.table(columns | {"score": pa.array(target - background, mask=empty)})
+
+    sent = marked.mapInArrow(stage, "chunk long, part long, data binary")
+    answered = sent.groupBy(F.when(F.col("part") < 0, -1 - F.col("chunk")).otherwise(F.col("part")).alias("slot")).applyInArrow(summed_part, "chunk long, part long, data binary")
+    return answered.groupBy("chunk").applyInArrow(score, SCORES)
+
+
 def score_documents(
     docs: DataFrame,
     targets: DataFrame,
     *,
-    vocabulary: int = 1 << 16,
-    bucket_bits: int = 21,
+    vocabulary: int | None = None,
+    bucket_bits: int | None = None,
     strength: float = 200.0,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
     """doc_id, n_tokens, loss_target, loss_background, score of every whole text.
 
-    ``targets``' first column holds the ids of the target documents.
+    ``targets``' first column holds the ids of the target documents. Counts are exact
+    unless ``vocabulary`` and ``bucket_bits`` (both or neither) bound them.
     """
+    if (vocabulary is None) != (bucket_bits is None):
+        raise ValueError("vocabulary and bucket_bits go together")
     spark = prepare(docs.sparkSession)
     marked = mark_targets(docs, targets, id_col, text_col)
+    if vocabulary is None:
+        return score_exactly(marked, strength)
     words = count_words(marked)
     top = words.orderBy(F.desc("n"), "word").limit(vocabulary).collect()  # bounded by the parameter
     index = {bytes(r["word"]): i + FIRST_WORD for i, r in enumerate(top)}
@@ -176,5 +387,4 @@ def score_documents(
 
         return handle
 
-    schema = "doc_id long, n_tokens long, loss_target double, loss_background double, score double"
-    return map_texts(id_and_text(docs, id_col, text_col), each, schema)
+    return map_texts(id_and_text(docs, id_col, text_col), each, SCORES)

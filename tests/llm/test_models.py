@@ -156,6 +156,21 @@ def test_scores_match_brute_force(spark, frame):
     assert lm_score.score_documents(spark.createDataFrame([], SCHEMA), targets).collect() == []
 
 
+def test_counts_are_exact_past_65536_words(spark, frame, monkeypatch):
+    """Many rare words and bigrams, in several chunks and parts, against counts without buckets (64 bits lose nothing)."""
+    monkeypatch.setattr(lm_score, "PART_BYTES", 100_000)
+    rng = random.Random(6)
+    rows = [(i, " ".join(f"w{rng.randrange(300_000 if rng.random() < 0.5 else 50)}" for _ in range(600))) for i in range(400)] + [(900, None), (901, " ")]
+    wanted = set(range(0, 400, 3))
+    assert len({w for _, t in rows for w in (t or "").split()}) > 1 << 16
+    want = brute_scores(rows, wanted, 1 << 30, 64, 200.0)
+    got = lm_score.score_documents(frame(rows).repartition(3), spark.createDataFrame([(i,) for i in wanted], "doc_id long")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        a, b = want[r["doc_id"]]
+        assert a is None and r["score"] is None and r["n_tokens"] == 0 or (r["loss_target"], r["loss_background"]) == (pytest.approx(a, rel=1e-9), pytest.approx(b, rel=1e-9))
+
+
 def test_no_targets_and_null_ids(spark, frame):
     rows = [(None, "a b c"), (1, "a b"), (1, "a b")]
     got = lm_score.score_documents(frame(rows), spark.createDataFrame([], "doc_id long")).collect()
