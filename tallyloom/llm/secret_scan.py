@@ -1,9 +1,9 @@
 """Secret scans: fixed patterns, and dictionary-primed compression novelty.
 
 Patterns find assignments, access keys and hex digests. The method adds spans: in
-a sensitive context (a word such as ``credential`` shortly before), a string of
-16 or more key characters is compressed behind its surrounding text by zstandard
-primed with a dictionary of identifiers. The marginal bytes, compressed size with
+a sensitive context (a word such as ``credential`` shortly before), every string of
+16 or more key characters, whatever they are, that begins within ``REACH`` is
+compressed behind its surrounding text by zstandard primed with a dictionary of identifiers. The marginal bytes, compressed size with
 the candidate less that without it, are small for words and identifiers that the
 context or the dictionary knows and large for random material; strings that cost
 at least ``novelty`` bytes a character are reported as ``novel``.
@@ -34,7 +34,8 @@ LEAST_VALUE, LEAST_ACCESS = 6, 20
 #: Words that make the following text sensitive.
 SENSITIVE = ("password", "passwd", "passphrase", "secret", "token", "apikey", "api_key", "api-key", "credential", "private", "bearer", "authorization", "access_key", "signing", "webhook")
 CONTEXT = re.compile("|".join(SENSITIVE), re.I | re.A)
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+LEAST_CANDIDATE = 16
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST_CANDIDATE},}}")
 REACH, AROUND = 96, 256
 #: Identifiers and code words that prime the compressor.
 IDENTIFIERS = (
@@ -77,15 +78,16 @@ def novel_spans(text: str, low: str, base: list[tuple[int, int, int]], judge: No
         return []
     found, done = [], 0
     for word in CONTEXT.finditer(text):
-        for m in CANDIDATE.finditer(text, max(word.end(), done), min(len(text), word.end() + REACH)):
+        reach = word.end() + REACH
+        for m in CANDIDATE.finditer(text, max(word.end(), done), min(len(text), reach + LEAST_CANDIDATE)):
             start = m.start()
+            if start >= reach:
+                break
             end = m.end()
-            while end < len(text) and CANDIDATE_CHAR(text[end]):  # the reach may end inside a candidate
+            while end < len(text) and CANDIDATE_CHAR(text[end]):  # the search may end inside a candidate
                 end += 1
             done = end
             candidate = text[start:end]
-            if not any(c.isdigit() for c in candidate) or not any(c.isalpha() for c in candidate):
-                continue
             if any(s < end and start < e for s, _, e in base):
                 continue
             context = text[max(0, start - AROUND) : start] + text[end : end + AROUND] + " "
