@@ -66,6 +66,19 @@ def test_leaks(spark, frame):
     assert decontaminate.find_leaks(frame(docs), benchmark.limit(0)).collect() == []
 
 
+def test_long_items_leak(spark, frame):
+    """Verbatim and paraphrased copies of items far longer than a window, found whole."""
+    sizes = [50, 61, 150, 400, 1000, 2500]
+    items = [(i, prose(5000 + i, n)) for i, n in enumerate(sizes * 2)]
+    docs = [(i, prose(6000 + i, 500), "s") for i in range(60)]
+    for i, text in items:
+        copy = text.upper() if i < len(sizes) else paraphrase(text, i)
+        docs.append((100 + i, prose(7000 + i, 333) + " " + copy + " " + prose(8000 + i, 777), "s"))
+    got = decontaminate.find_leaks(frame(docs), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(100 + i, i) for i, _ in items}
+    assert all(r["lcs"] == 1 for r in got if r["item_id"] < len(sizes))
+
+
 def test_randomised_svd_finds_the_space(spark):
     texts = [" ".join(random.Random(i).choices(["a", "b", "c", "d", "e", "f"], k=40)) for i in range(60)]
     index = {w: i for i, w in enumerate([b"a", b"b", b"c", b"d", b"e", b"f"])}
