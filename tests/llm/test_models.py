@@ -66,6 +66,19 @@ def test_leaks(spark, frame):
     assert decontaminate.find_leaks(frame(docs), benchmark.limit(0)).collect() == []
 
 
+def test_the_stretch_with_the_answer_counts():
+    """A stretch of LCS 0.65 without the answer, before or after one of 0.625 with it."""
+    words = [f"w{i}" for i in range(40)]
+    items = decontaminate.Items.of([(9, " ".join(words))])
+    limits = {"window": 40, "least_cosine": 0.4, "sure": 0.8, "likely": 0.6, "answer": 8}
+    searcher = decontaminate.Searcher(items, np.ones(40), np.eye(40), **limits)
+    head, tail, gap = words[:26], words[15:], ["other"] * 400
+    for text in (head + gap + tail, tail + gap + head):
+        [(item, _, lcs, answered, *_)] = searcher.matches(" ".join(text))
+        assert (item, lcs, answered) == (9, 0.625, 1)
+    assert searcher.matches(" ".join(head + gap + head)) == []
+
+
 def test_long_items_leak(spark, frame):
     """Verbatim and paraphrased copies of items far longer than a window, found whole."""
     sizes = [50, 61, 150, 400, 1000, 2500]
