@@ -102,9 +102,21 @@ def floor_join(rows: DataFrame, tiers: DataFrame, value: str, floor: str, max_br
     return rows.join(side, on, "left").drop("__lo", "__hi")
 
 
-def prefix_join(rows: DataFrame, prefixes: DataFrame, text: str, prefix: str = "prefix") -> DataFrame:
-    """Rows whose text starts with a prefix of the list, once each."""
-    return rows.join(F.broadcast(prefixes.limit(10_000)), F.col(text).startswith(F.col(prefix)), "left_semi")
+def prefix_join(rows: DataFrame, prefixes: DataFrame, text: str, prefix: str = "prefix", max_broadcast: int = 10_000) -> DataFrame:
+    """Rows whose text starts with a prefix of the list, once each.
+
+    The prefixes are broadcast up to a checked number; past it the different texts' beginnings
+    of the prefixes' lengths are joined to them by equality.
+    """
+    if prefixes.count() <= max_broadcast:
+        return rows.join(F.broadcast(prefixes), F.col(text).startswith(F.col(prefix)), "left_semi")
+    wanted = prefixes.where(F.col(prefix).isNotNull()).select(F.col(prefix).alias("__begin")).distinct()
+    lengths = wanted.agg(F.collect_set(F.length("__begin")).alias("__lengths"))
+    texts = rows.select(F.col(text).alias("__text")).where("__text is not null").distinct()
+    begins = texts.crossJoin(F.broadcast(lengths)).select("__text", F.explode("__lengths").alias("__n"))
+    begins = begins.where("__n <= length(__text)").select("__text", F.expr("substring(__text, 1, __n)").alias("__begin"))
+    found = begins.join(wanted, "__begin", "left_semi").select("__text").distinct()
+    return rows.join(found, F.col(text) == F.col("__text"), "left_semi")
 
 
 def snapshot_plus_delta(snapshot: DataFrame, deltas: DataFrame, key: str, value: str, delta: str) -> DataFrame:

@@ -17,6 +17,13 @@ def test_floor_join_below_the_first(spark):
     assert [r["tier"] for r in R.floor_join(rows, tiers, "v", "floor").orderBy("v").collect()] == ["a", "a", "a", "b", "c"]
 
 
+def test_prefix_join_takes_every_prefix(spark):
+    prefixes = spark.range(12_000).select(F.format_string("p%05d", "id").alias("prefix")).union(spark.sql("SELECT CAST(NULL AS STRING)"))
+    rows = spark.createDataFrame([("p00000x",), ("p11999",), ("p11999",), ("p11998 y",), ("p12000",), ("p1",), ("",), (None,)], "t string")
+    assert sorted(r["t"] for r in R.prefix_join(rows, prefixes, "t").collect()) == ["p00000x", "p11998 y", "p11999", "p11999"]
+    assert sorted(r["t"] for r in R.prefix_join(rows, prefixes.limit(9), "t", max_broadcast=2).collect()) == ["p00000x"]
+
+
 def test_keyset_page_ends(spark):
     rows = spark.range(5)
     page = R.keyset_page(rows, "id", 2, 5).orderBy("id").collect()
