@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of the white-space class ``[\x20\x09-\x0D]`` that lines and words are stripped by.
@@ -16,6 +17,8 @@ BLANKS = b" \t\n\x0b\x0c\r"
 BLANK_CHARS = " \t\n\x0b\x0c\r"
 #: Words that one call of a vectorised kernel takes at most; longer texts go in pieces.
 CHUNK = 1 << 18
+#: Keys of more rows than this are joined by a broadcast of their own (``join_hot``).
+HOT_ROWS = 100_000
 
 
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -36,10 +39,42 @@ def map_texts(docs: DataFrame, each: Callable[[], Callable[[pa.RecordBatch], dic
             for piece in slices(batch):
                 columns = handle(piece)
                 yield pa.RecordBatch.from_arrays([columns[n] for n in names], names=names)
+        give_back()
 
     return docs.mapInArrow(run, schema)
 
 
+def give_back() -> None:
+    """Return freed memory to the system, since idle workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim is not None:
+        trim(0)
+
+
+def join_hot(rows: DataFrame, table: DataFrame, on: str, key: str, weight: str, spread: Column, *, how: str = "left", max_broadcast: int = 1_000_000, hot: int = HOT_ROWS) -> DataFrame:
+    """``rows`` with the columns of ``table`` (one row a key, null a key too), however many rows a key has.
+
+    ``table`` should be cut; ``weight`` is its column of the rows that each key has. Up to
+    ``max_broadcast`` keys the table is broadcast. Past that only keys of ``hot`` rows or
+    more are, of which there are at most rows / ``hot``; the rest meet in a shuffle, where no
+    key has more, and rows that are done are dealt by ``spread`` there.
+    """
+    if table.count() <= max_broadcast:
+        return rows.join(F.broadcast(table), F.col(f"`{on}`").eqNullSafe(F.col(key)), how).drop(key, weight)
+    values = [c for c in table.columns if c not in (key, weight)]
+    large = table.where(F.col(weight) >= hot).select(F.col(key).alias("__hot"), F.lit(True).alias("__is_hot"), *(F.col(v).alias(f"__hot_{v}") for v in values))
+    marked = rows.join(F.broadcast(large), F.col(f"`{on}`").eqNullSafe(F.col("__hot")), "left").drop("__hot")
+    done = F.coalesce("__is_hot", F.lit(False))
+    marked = marked.withColumn("__deal", F.when(done, F.pmod(spread, F.lit(1 << 20)).cast("int")).otherwise(F.lit(-1)))
+    rest = table.where(F.col(weight) < hot).drop(weight).withColumn("__rest", F.lit(-1))
+    joined = marked.join(rest, F.col(f"`{on}`").eqNullSafe(F.col(key)) & (F.col("__deal") == F.col("__rest")), "left")
+    if how == "inner":
+        joined = joined.where(F.col("__is_hot") | F.col("__rest").isNotNull())
+    found = [F.when(done, F.col(f"__hot_{v}")).otherwise(F.col(v)).alias(v) for v in values]
+    return joined.select(*(F.col(f"`{c}`") for c in rows.columns), *found)
+
+
 def slices(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of about ``most`` bytes, so that Python objects of one part stay small."""
     if not batch.num_rows:

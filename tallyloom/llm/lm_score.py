@@ -15,6 +15,10 @@ to the driver, and nothing is broadcast but the targets' ids (up to a checked nu
 Keys are 64-bit hashes of words and of pairs of them: n distinct keys have about
 n^2 / 2^65 colliding pairs (0.03 at 10^9).
 
+A chunk sends a string to each part, so there are chunks x parts strings: raise
+``chunk_bytes`` and ``part_bytes`` with the corpus as far as the workers' memory
+allows (a worker holds about 25 times as much as the larger of them).
+
 Given ``vocabulary`` and ``bucket_bits``, counts are bounded instead: the
 ``vocabulary`` most frequent words, ties by the word, the rest being one unknown word,
 and bigram counts in hash buckets shared by both models. Memory is then set by the
@@ -39,7 +43,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import cut_into, id_and_text, joined_parts, map_texts, slices, split_words, sum_partials
+from tallyloom.llm.common import cut_into, give_back, id_and_text, joined_parts, map_texts, slices, split_words, sum_partials
 from tallyloom.session import prepare
 
 PARTS = 16
@@ -225,7 +229,7 @@ def corpus_totals(marked: DataFrame, parts: int) -> tuple[int, list[int], list[i
             sums[:] = 0
 
         for batch in batches:
-            for piece in slices(batch, CHUNK_BYTES // 4):
+            for piece in slices(batch, 2 << 20):
                 for text, target in zip(piece.column("text").to_pylist(), piece.column("target").to_pylist(), strict=True):
                     found = split_words(text)
                     words.update(found)
@@ -234,6 +238,7 @@ def corpus_totals(marked: DataFrame, parts: int) -> tuple[int, list[int], list[i
                     yield from rows()
         if words:
             yield from rows()
+        give_back()
 
     def merge(table: pa.Table) -> pa.Table:
         got = [unpack_columns(d, ("<u8", "<i8")) for d in table.column("data").to_pylist()]
@@ -259,32 +264,32 @@ def summed_part(table: pa.Table) -> pa.Table:
             total = np.bincount(which, np.concatenate([r[at + side] for r in rows]), len(distinct)).astype(np.int64)  # exact up to 2^53
             for own, part in zip(answers, np.split(total[which], ends), strict=True):
                 own.append(part)
-    return pa.table(
-        {
-            "chunk": table.column("chunk"),
-            "part": table.column("part"),
-            "data": pa.array([pack_columns(a, ANSWERED) for a in answers], pa.binary()),
-        }
-    )
+    packed = pa.array([pack_columns(a, ANSWERED) for a in answers], pa.binary())
+    del rows, answers, which, distinct, total
+    give_back()
+    return pa.table({"chunk": table.column("chunk"), "part": table.column("part"), "data": packed})
 
 
-def score_exactly(marked: DataFrame, strength: float) -> DataFrame:
+def score_exactly(marked: DataFrame, strength: float, chunk_bytes: int = CHUNK_BYTES, part_bytes: int = PART_BYTES) -> DataFrame:
     """Scores of all texts by exact counts."""
     n_bytes = marked.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, -(-n_bytes // PART_BYTES))
+    parts = max(1, -(-n_bytes // part_bytes))
     n_words, n_tokens, n_texts = corpus_totals(marked, -(-parts // 8))
     size = n_words + FIRST_WORD
 
     def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, chunk = TaskContext.get().partitionId() << 32, Chunk()
         for batch in batches:
-            for piece in slices(batch, CHUNK_BYTES // 4):
+            for piece in slices(batch, chunk_bytes // 4):
                 chunk.add(piece)
-                if chunk.n_bytes >= CHUNK_BYTES:
+                if chunk.n_bytes >= chunk_bytes:
                     yield from chunk.rows(number, parts)
                     number, chunk = number + 1, Chunk()
+                    give_back()
         if chunk.ids:
             yield from chunk.rows(number, parts)
+        del chunk
+        give_back()
 
     def score(table: pa.Table) -> pa.Table:
         (_, texts), *answers = sorted(zip(table.column("part").to_pylist(), table.column("data").to_pylist(), strict=True))
@@ -307,6 +312,8 @@ def score_exactly(marked: DataFrame, strength: float) -> DataFrame:
                 total[at + 1 : at + 1 + len(joint)] = -np.log(joint / context[before[own]])
             np.cumsum(total, out=total)
             losses[name] = (total[ends] - total[ends - sizes]) / np.maximum(sizes, 1)
+        del total, seen, got, keys, before, word_of, bigram_of, tokens
+        give_back()
         target, background = losses["loss_target"], losses["loss_background"]
         empty = sizes == 0
         columns = {"doc_id": pa.array(ids, mask=null.astype(bool)), "n_tokens": pa.array(sizes)}
@@ -325,6 +332,8 @@ def score_documents(
     vocabulary: int | None = None,
     bucket_bits: int | None = None,
     strength: float = 200.0,
+    chunk_bytes: int = CHUNK_BYTES,
+    part_bytes: int = PART_BYTES,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -338,7 +347,7 @@ def score_documents(
     spark = prepare(docs.sparkSession)
     marked = mark_targets(docs, targets, id_col, text_col)
     if vocabulary is None:
-        return score_exactly(marked, strength)
+        return score_exactly(marked, strength, chunk_bytes, part_bytes)
     words = count_words(marked)
     top = words.orderBy(F.desc("n"), "word").limit(vocabulary).collect()  # bounded by the parameter
     index = {bytes(r["word"]): i + FIRST_WORD for i, r in enumerate(top)}
@@ -388,3 +397,30 @@ def score_documents(
         return handle
 
     return map_texts(id_and_text(docs, id_col, text_col), each, SCORES)
+
+
+#: The query's SQL, rounded as the query is: exact counts of words and of bigrams within a document.
+ORACLE_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^ \t-\r]+') AS ws,
+         doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND doc_id IS NOT NULL) AS wanted FROM documents
+), u AS (
+  SELECT r, wanted, ws[i] AS w, CASE WHEN i > 1 THEN ws[i - 1] END AS b FROM (SELECT r, wanted, ws, unnest(range(1, len(ws) + 1)) AS i FROM d)
+), uni AS (
+  SELECT w, count(*) AS n, count(*) FILTER (WHERE wanted) AS m FROM u GROUP BY w
+), bi AS (
+  SELECT b, w, count(*) AS n, count(*) FILTER (WHERE wanted) AS m FROM u GROUP BY b, w
+), t AS (
+  SELECT (SELECT count(*) + 2 FROM uni) AS size, count(*) AS n, count(*) FILTER (WHERE wanted) AS m,
+         count(*) FILTER (WHERE b IS NULL) AS n0, count(*) FILTER (WHERE b IS NULL AND wanted) AS m0 FROM u
+), p AS (
+  SELECT bi.b, bi.w,
+         -ln((bi.m + 200.0::DOUBLE * (uni.m + 1) / (t.m + t.m0 + t.size)) / (CASE WHEN bi.b IS NULL THEN t.m0 ELSE c.m END + 200.0::DOUBLE)) AS lt,
+         -ln((bi.n + 200.0::DOUBLE * (uni.n + 1) / (t.n + t.n0 + t.size)) / (CASE WHEN bi.b IS NULL THEN t.n0 ELSE c.n END + 200.0::DOUBLE)) AS lb
+  FROM bi JOIN uni USING (w) LEFT JOIN uni c ON c.w = bi.b CROSS JOIN t
+), s AS (
+  SELECT r, count(*) AS n_tokens, avg(lt) AS lt, avg(lb) AS lb FROM u JOIN p ON u.w = p.w AND u.b IS NOT DISTINCT FROM p.b GROUP BY r
+)
+SELECT d.doc_id, coalesce(s.n_tokens, 0) AS n_tokens, round(lt, 6) + 0.0 AS loss_target, round(lb, 6) + 0.0 AS loss_background, round(lt - lb, 6) + 0.0 AS score
+FROM d LEFT JOIN s USING (r)
+"""

@@ -84,7 +84,8 @@ def op7_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
 
 def op10_lm_score(spark: SparkSession, folder: str) -> DataFrame:
     targets = read_table(spark, folder, "labels").where("quality = 1").select("doc_id")
-    return lm_score.score_documents(read_table(spark, folder, "documents"), targets)
+    scored = lm_score.score_documents(read_table(spark, folder, "documents"), targets)
+    return scored.select("doc_id", "n_tokens", *(F.round(c, 6).alias(c) for c in ("loss_target", "loss_background", "score")))
 
 
 def queries() -> dict[str, Query]:
@@ -108,4 +109,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_line_dedup": line_dedup.ORACLE_SQL,
         "op5_chat_format": chat_format.ORACLE_SQL,
         "op6_quality_rules": quality_rules.ORACLE_SQL,
+        "op10_lm_score": lm_score.ORACLE_SQL,
     }
