@@ -1,8 +1,10 @@
 """Connected components of a link table, by alternating large and small stars.
 
-Each round moves links towards the smallest id of a neighbourhood; the least
-neighbour of an id is an aggregate (combined before the shuffle) and is joined back,
-so no neighbourhood is gathered in one task. Rounds go on until the links stand.
+Each round moves links towards the smallest id of a neighbourhood. The least neighbour
+of an id is an aggregate, combined before the shuffle, and goes back to the links by
+``join_hot``: broadcast up to a checked number of ids, past it broadcast for the ids of
+many links and joined for the rest, so that no task gathers the links of a star's
+centre. Rounds go on until the links stand.
 """
 
 from __future__ import annotations
@@ -10,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.llm.common import join_hot
 from tallyloom.session import cut
 
 
@@ -20,24 +23,33 @@ def _state(links: DataFrame) -> tuple:
     return row["n"], row["h"]
 
 
-def _large_star(links: DataFrame) -> DataFrame:
+def _least(links: DataFrame) -> DataFrame:
+    """__a, m (the least neighbour of a), n (its links)."""
+    return cut(links.groupBy(F.col("a").alias("__a")).agg(F.min("b").alias("m"), F.count("*").alias("n")))
+
+
+def _with_least(links: DataFrame, least: DataFrame, limits: dict) -> DataFrame:
+    return join_hot(links, least, "a", "__a", "n", F.xxhash64("b"), how="inner", **limits)
+
+
+def _large_star(links: DataFrame, limits: dict) -> DataFrame:
     both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    joined = _with_least(both.where("b > a"), _least(both).withColumn("m", F.least("__a", "m")), limits)
+    return joined.select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
-def _small_star(links: DataFrame) -> DataFrame:
-    down = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b")
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    joined = down.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return joined.union(least.select("a", F.col("m").alias("b")))
+def _small_star(links: DataFrame, limits: dict) -> DataFrame:
+    down = cut(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    least = _least(down)
+    joined = _with_least(down, least, limits).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return joined.union(least.select(F.col("__a").alias("a"), F.col("m").alias("b")))
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, most_rounds: int = 60, **limits: int) -> DataFrame:
     """id, component (the smallest id reachable) of every id with a link to another.
 
     ``links`` has two long columns ``a`` and ``b``; nulls and loops are left out.
-    An empty table gives an empty result.
+    An empty table gives an empty result. ``limits`` are those of ``join_hot``.
     """
     links = links.where("a is not null and b is not null and a <> b").select("a", "b").distinct()
     links = cut(links)
@@ -45,7 +57,7 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     for _ in range(most_rounds):
         if not state[0]:
             break
-        links = cut(_small_star(_large_star(links)).where("a <> b").distinct())
+        links = cut(_small_star(_large_star(links, limits), limits).where("a <> b").distinct())
         now = _state(links)
         if now == state:
             break

@@ -8,13 +8,14 @@ a grid cell in common at distance 1 or less from both. So every distinct fingerp
 is sent to the cells at distance 0 and 1 of its two halves (50 at most), and the
 fingerprints of a cell are compared exactly.
 
-Copies collapse before that: only distinct fingerprints, each with its smallest
-document, enter the grid. A cell of many fingerprints yields a spanning forest of its
+Copies collapse before that: only distinct fingerprints enter the grid, and components
+are those of fingerprints. A cell of many fingerprints yields a spanning forest of its
 links rather than all pairs, which leaves the components as they are.
 
 Defined results: a null, empty or blank text has fingerprint zero, linked like any
-other; a row without id gets its fingerprint and a null component; rows that share an
-id are one document if their fingerprints agree; other columns are ignored.
+other; a row without id links like any other, but its own component is null; rows that
+share an id are one document if their fingerprints agree and documents of their own
+otherwise; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,10 +25,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import CHUNK, id_and_text, map_texts
+from tallyloom.llm.common import CHUNK, id_and_text, join_hot, map_texts
 from tallyloom.llm.components import components
 from tallyloom.session import cut, prepare
 
@@ -65,17 +66,23 @@ def fingerprint(text: str, size: int = 4) -> int:
     return int(np.packbits(2 * ones > len(values), bitorder="little").view("<u8")[0])
 
 
+def text_mark(text: Column) -> Column:
+    """What tells rows of one id apart."""
+    return F.xxhash64(text)
+
+
 def fingerprints(docs: DataFrame, size: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long) of every whole text."""
+    """doc_id, mark (a hash of the text) and fp (the fingerprint as a signed long) of every whole text."""
 
     def each():
         def handle(batch: pa.RecordBatch) -> dict:
             found = np.array([fingerprint(t, size) for t in batch.column("text").to_pylist()], np.uint64)
-            return {"doc_id": batch.column("doc_id"), "fp": pa.array(found.view(np.int64))}
+            return {"doc_id": batch.column("doc_id"), "mark": batch.column("mark"), "fp": pa.array(found.view(np.int64))}
 
         return handle
 
-    return map_texts(id_and_text(docs, id_col, text_col), each, "doc_id long, fp long")
+    texts = id_and_text(docs, id_col, text_col).withColumn("mark", text_mark(F.col("text")))
+    return map_texts(texts, each, "doc_id long, mark long, fp long")
 
 
 def embed(fps: np.ndarray) -> np.ndarray:
@@ -176,27 +183,51 @@ def links_of(distinct: DataFrame, most_bits: int = 4) -> DataFrame:
     return gridded.repartition("cell").mapInArrow(compare, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, *, size: int = 4, most_bits: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable)."""
-    prepare(docs.sparkSession)
+def classified(docs: DataFrame, size: int, most_bits: int, id_col: str, text_col: str, max_broadcast: int = 100_000, hot: int = 10_000) -> DataFrame:
+    """doc_id, mark (a hash of the text), fp, component_id, keeper (the fingerprint whose document stays) of every row.
+
+    Components are those of fingerprints, so rows that share an id are not confused.
+    """
     fps = cut(fingerprints(docs, size, id_col, text_col))
-    distinct = cut(fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("id")))
-    found = components(links_of(distinct, most_bits))
-    classes = cut(
-        distinct.join(found, "id", "left").select(
-            F.col("fp").alias("__fp"), F.coalesce("component", "id").alias("component_id")
+    distinct = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("id"), F.count("*").alias("n")))
+    found = components(links_of(distinct.select(F.col("fp").alias("id"), "fp"), most_bits))
+    linked = cut(
+        distinct.join(found.withColumnRenamed("id", "__id"), F.col("fp") == F.col("__id"), "left").select(
+            "fp", "id", "n", F.coalesce("component", "fp").alias("component")
         )
     )
-    return fps.join(classes, F.col("fp") == F.col("__fp"), "left").select(
+    first = F.struct(F.col("id").isNull(), "id", "fp")
+    least = linked.groupBy(F.col("component").alias("__c")).agg(
+        F.min("id").alias("component_id"), F.min_by("fp", first).alias("keeper"), F.count("*").alias("__w")
+    )
+    classes = join_hot(linked, cut(least), "component", "__c", "__w", F.col("fp"), max_broadcast=max_broadcast, hot=hot)
+    classes = cut(classes.select(F.col("fp").alias("__fp"), "component_id", "keeper", F.col("n").alias("__n")))
+    return join_hot(fps, classes, "fp", "__fp", "__n", F.xxhash64("doc_id", "mark"), max_broadcast=max_broadcast, hot=hot)
+
+
+def near_duplicates(docs: DataFrame, *, size: int = 4, most_bits: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable)."""
+    prepare(docs.sparkSession)
+    return classified(docs, size, most_bits, id_col, text_col).select(
         "doc_id",
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"),
     )
 
 
-def drop_near_duplicates(docs: DataFrame, *, size: int = 4, most_bits: int = 4, id_col: str = "doc_id", text_col: str = "text", max_broadcast: int = 2_000_000) -> DataFrame:
-    """The rows of ``docs`` whose document is the smallest of its component, all columns."""
-    found = near_duplicates(docs, size=size, most_bits=most_bits, id_col=id_col, text_col=text_col)
-    gone = cut(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct())
-    side = F.broadcast(gone) if gone.count() <= max_broadcast else gone  # 8 bytes a row
-    return docs.join(side, F.col(f"`{id_col}`") == F.col("__gone"), "left_anti")
+def drop_near_duplicates(docs: DataFrame, *, size: int = 4, most_bits: int = 4, id_col: str = "doc_id", text_col: str = "text", max_broadcast: int = 1_000_000) -> DataFrame:
+    """The rows of ``docs`` whose document is the first of its component, all columns.
+
+    That is the document of the smallest id (of equal ids that of the smallest
+    fingerprint; a row without id only where the component has no id); rows that repeat
+    both its id and its text stay with it. Rows are told apart by id and a hash of the text.
+    """
+    prepare(docs.sparkSession)
+    found = classified(docs, size, most_bits, id_col, text_col)
+    stays = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("fp") == F.col("keeper"))
+    gone = cut(found.where(~stays).select(F.col("doc_id").alias("__gone"), F.col("mark").alias("__mark")).distinct())
+    own, mark = F.col(f"`{id_col}`").cast("long"), text_mark(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
+    if gone.count() <= max_broadcast:  # one long a row
+        side = gone.select(F.xxhash64("__gone", "__mark").alias("__key"))
+        return docs.join(F.broadcast(side), F.xxhash64(own, mark) == F.col("__key"), "left_anti")
+    return docs.join(gone, own.eqNullSafe(F.col("__gone")) & (mark == F.col("__mark")), "left_anti")
