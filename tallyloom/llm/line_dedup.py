@@ -8,7 +8,8 @@
    that it suspects are shuffled, by their whole key, for the exact count of
    documents and the choice of the first occurrence.
 3. Confirmed keys go back to the documents: broadcast if they fit ``max_broadcast``
-   bytes, else as a join of each document with its own confirmed keys.
+   bytes, else as a join of each document with its own confirmed keys, those of very
+   many documents by a broadcast of their own (``join_hot``).
 
 Past ``max_bits`` the filter suspects more lines, so more of them shuffle; results
 stay exact.
@@ -31,8 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyloom.llm.common import BLANKS, id_and_text, merge_tree, replace_column, slices
-from tallyloom.session import cut, prepare
+from tallyloom.llm.common import BLANKS, id_and_text, join_hot, merge_tree, replace_column, slices
+from tallyloom.session import cut, cut_to_table, prepare
 
 SLICES = 16
 LAST_ID = (1 << 63) - 1
@@ -213,10 +214,12 @@ def dedup_lines(
     """
     if mode not in ("all", "first"):
         raise ValueError(f"unknown mode {mode}")
+    if min_docs < 2:
+        raise ValueError("min_docs must be 2 or more: the filters find keys that are seen twice")
     spark = prepare(docs.sparkSession)
     first = mode == "first"
     suspects = suspected_lines(id_and_text(docs, id_col, text_col), max_bits)
-    hot = cut(repeated_lines(suspects, max(2, min_docs)))
+    hot = cut(repeated_lines(suspects, min_docs))
     size = hot.select(F.coalesce(F.sum(F.octet_length("key") + 64), F.lit(0)).alias("bytes")).first()["bytes"]
     base = docs.drop(*(n for n in names or () if n in docs.columns))
     small = size <= max_broadcast
@@ -226,8 +229,9 @@ def dedup_lines(
         source = base
     else:
         shared = None
+        table = hot.withColumnRenamed("key", "__key")
         own = (
-            suspects.join(hot, "key")
+            join_hot(cut_to_table(suspects, "suspects"), table, "key", "__key", "n_docs", F.xxhash64("doc_id", "line"), how="inner", max_broadcast=0)
             .groupBy(F.col("doc_id").alias("__id"))
             .agg(F.collect_list(F.struct("key", "first_doc", "first_line")).alias("__hot"))
         )
@@ -252,21 +256,21 @@ def dedup_lines(
     return source.mapInArrow(drop, schema)
 
 
-#: The query's SQL: keys by trim() of the six blanks and translate() of A-Z.
+#: The query's SQL: keys by trim() of the six blanks and translate() of A-Z; each row is a document.
 ORACLE_SQL = """
 WITH lines AS (
-  SELECT doc_id, i, line,
+  SELECT r, doc_id, i, line,
          translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
                    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
   FROM (
-    SELECT doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) AS i
-    FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents)
+    SELECT r, doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) AS i
+    FROM (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents)
   )
 ), hot AS (
-  SELECT key FROM lines WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10
+  SELECT key FROM lines WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT r) >= 10
 )
 SELECT l.doc_id, count(*) AS n_lines, count(h.key) AS n_dropped,
        sha256(coalesce(string_agg(CASE WHEN h.key IS NULL THEN l.line END, chr(10) ORDER BY l.i), '')) AS kept_sha256
 FROM lines l LEFT JOIN hot h ON l.key = h.key
-GROUP BY l.doc_id
+GROUP BY l.r, l.doc_id
 """
