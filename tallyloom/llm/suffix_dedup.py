@@ -20,8 +20,14 @@ that can share ``length`` bytes with another, and only those are merged:
    suffix stays, the others are repeats.
 
 Defined results: a null or empty text has no bytes and no repeats; matches never cross
-documents; rows that share an id are one document; a row without id is left whole and
-hidden from the others; texts shorter than ``length`` stay; other columns are ignored.
+documents; rows that share an id and a text are one document, rows that share an id
+alone are documents of their own, in the order of a hash of their text; a row without
+id is left whole and hidden from the others; texts shorter than ``length`` stay; other
+columns are ignored.
+
+Memory: a task holds ``HELD`` different contexts at most and passes them on past that;
+the merge takes anchors in order and works off those it has past ``HELD``, so only the
+different contexts of one anchor must fit a task.
 """
 
 from __future__ import annotations
@@ -34,7 +40,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import id_and_text, slices
+from tallyloom.llm.common import give_back, id_and_text, slices
 from tallyloom.llm.line_dedup import has_bits, twice_seen_filter
 from tallyloom.session import prepare
 
@@ -43,9 +49,11 @@ GRAM = 32
 STRETCH = 1 << 18
 #: Suffixes that one call of the merge holds, so that its arrays stay in the caches.
 MERGE = 1 << 17
-FIRSTS = "anchor long, context binary, before int, doc long, start long, end long"
+#: Different contexts that a task holds.
+HELD = 300_000
+FIRSTS = "anchor long, context binary, before int, doc long, mark long, start long, end long"
 FIRST_SCHEMA = pa.schema(
-    [("anchor", pa.int64()), ("context", pa.binary()), ("before", pa.int32()), ("doc", pa.int64()), ("start", pa.int64()), ("end", pa.int64())]
+    [("anchor", pa.int64()), ("context", pa.binary()), ("before", pa.int32()), *((n, pa.int64()) for n in ("doc", "mark", "start", "end"))]
 )
 _BYTE_VALUES = np.random.default_rng(20240607).integers(0, 2**64, 256, dtype=np.uint64) | np.uint64(1)
 
@@ -152,7 +160,8 @@ def merge_contexts(contexts: list[bytes], before: np.ndarray, anchor: np.ndarray
 
     All contexts are different and those of one anchor come together. ``before`` counts a
     context's bytes before its anchor; bytes are counted from the context's start. Of
-    equal strings the one with the least (doc, start) stays.
+    equal strings the one with the least (doc, start) stays; ``doc`` may be any numbers
+    in the documents' order.
     """
     reach = length - GRAM
     spans: list[tuple[int, int, int]] = []
@@ -203,19 +212,31 @@ def _merge_places(contexts, before, anchor, doc, start, own, places, length) ->
 
 def runs(key: np.ndarray, begin: np.ndarray, end: np.ndarray) -> list[tuple[int, int, int]]:
     """Spans joined into maximal runs for each key."""
-    if not len(key):
+    return joined_runs([(key, begin, end)])
+
+
+def joined_runs(spans: list[tuple]) -> list[tuple]:
+    """Runs of spans given as columns (key, ..., begin, end): those of one key that touch are joined."""
+    columns = [np.concatenate(c) for c in zip(*spans, strict=True)] if spans else []
+    if not columns or not len(columns[0]):
         return []
-    by = np.lexsort((begin, key))
-    key, begin, end = key[by], begin[by], end[by]
-    out = []
-    now, lo, hi = int(key[0]), int(begin[0]), int(end[0])
-    for k, b, e in zip(key.tolist(), begin.tolist(), end.tolist(), strict=True):
-        if k != now or b > hi:
-            out.append((now, lo, hi))
-            now, lo, hi = k, b, e
+    *keys, begin, end = columns
+    by = np.lexsort((begin, *reversed(keys)))
+    begin, end = begin[by], end[by]
+    fresh = np.ones(len(by), bool)
+    same = np.ones(len(by) - 1, bool)
+    for key in keys:
+        same &= key[by][1:] == key[by][:-1]
+    out, row = [], list(zip(*(k[by].tolist() for k in keys), strict=True))
+    fresh[1:] = ~same
+    lo, hi = int(begin[0]), int(end[0])
+    for i, (new, b, e) in enumerate(zip(fresh.tolist(), begin.tolist(), end.tolist(), strict=True)):
+        if i and (new or b > hi):
+            out.append((*row[i - 1], lo, hi))
+            lo, hi = b, e
         elif e > hi:
             hi = e
-    out.append((now, lo, hi))
+    out.append((*row[-1], lo, hi))
     return out
 
 
@@ -231,46 +252,55 @@ def first_occurrences(texts: DataFrame, length: int, max_bits: int) -> DataFrame
     reach = length - GRAM
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        firsts: dict[tuple[int, int, bytes], tuple[int, int]] = {}
-        again: list[tuple[int, int, int]] = []
+        firsts: dict[tuple[int, int, bytes], tuple[int, int, int]] = {}
+        again: list[tuple[int, int, int, int]] = []
         for batch in batches:
             for piece in slices(batch):
-                ids = piece.column("doc_id").to_pylist()
+                ids, marks = piece.column("doc_id").to_pylist(), piece.column("mark").to_pylist()
                 data = [t.encode("utf-8") for t in piece.column("text").to_pylist()]
                 which, at, hashes = anchors(data, length)
                 hit = has_bits(shared.value, bits, hashes)
                 for i, place, anchor in zip(which[hit].tolist(), at[hit].tolist(), hashes[hit].view(np.int64).tolist(), strict=True):
                     lo = max(0, place - reach)
                     key = (anchor, place - lo, data[i][lo : place + length])
-                    own = (ids[i], lo)
+                    own = (ids[i], marks[i], lo)
                     held = firsts.get(key)
                     if held is None:
                         firsts[key] = own
                     elif held != own:
                         if own < held:
                             firsts[key], own = own, held
-                        again.append((own[0], own[1], own[1] + len(key[2])))
+                        again.append((*own, own[2] + len(key[2])))
                 if len(again) > 1_000_000:
                     again = _joined(again)
+                if len(firsts) > HELD:
+                    yield from _first_rows(firsts)
         spans = _joined(again)
         for i in range(0, len(spans), 50_000):
             part = spans[i : i + 50_000]
             none = [None] * len(part)
             yield _first_batch(none, none, none, *map(list, zip(*part, strict=True)))
-        keys = list(firsts)
-        for i in range(0, len(keys), 20_000):
-            part = keys[i : i + 20_000]
-            own = [firsts[k] for k in part]
-            yield _first_batch(
-                [k[0] for k in part], [k[2] for k in part], [k[1] for k in part],
-                [o[0] for o in own], [o[1] for o in own], [o[1] + len(k[2]) for o, k in zip(own, part, strict=True)],
-            )
+        yield from _first_rows(firsts)
+        give_back()
 
     return texts.where("doc_id is not null").mapInArrow(run, FIRSTS)
 
 
-def _joined(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    return runs(*np.array(spans, np.int64).reshape(-1, 3).T) if spans else []
+def _joined(spans: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+    return joined_runs([tuple(np.array(spans, np.int64).T)]) if spans else []
+
+
+def _first_rows(firsts: dict[tuple[int, int, bytes], tuple[int, int, int]]) -> Iterator[pa.RecordBatch]:
+    """The first occurrences, which are then forgotten."""
+    keys = list(firsts)
+    for i in range(0, len(keys), 20_000):
+        part = keys[i : i + 20_000]
+        own = [firsts[k] for k in part]
+        yield _first_batch(
+            [k[0] for k in part], [k[2] for k in part], [k[1] for k in part],
+            [o[0] for o in own], [o[1] for o in own], [o[2] for o in own], [o[2] + len(k[2]) for o, k in zip(own, part, strict=True)],
+        )
+    firsts.clear()
 
 
 def _first_batch(*columns: list) -> pa.RecordBatch:
@@ -278,58 +308,80 @@ def _first_batch(*columns: list) -> pa.RecordBatch:
 
 
 def resolved_spans(firsts: DataFrame, length: int) -> DataFrame:
-    """doc, start, end of all repeats: those that tasks found by themselves, and those among their first occurrences."""
-    schema = pa.schema([("doc", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
+    """doc, mark, start, end of all repeats: those that tasks found by themselves, and those among their first occurrences."""
+    schema = pa.schema([(n, pa.int64()) for n in ("doc", "mark", "start", "end")])
+
+    def merged(held: dict[tuple[int, int, bytes], tuple[int, int, int]], spans: list[tuple[int, int, int, int]]) -> Iterator[pa.RecordBatch]:
+        """Repeats among the contexts held and the spans known; both are then forgotten."""
+        keys = sorted(held, key=lambda k: k[0])
+        anchor, before = (np.array([k[i] for k in keys], np.int64) for i in (0, 1))
+        doc, mark, start = (np.array([held[k][i] for k in keys], np.int64) for i in (0, 1, 2))
+        contexts = [k[2] for k in keys]
+        held.clear()
+        if keys:
+            by = np.lexsort((mark, doc))
+            number = np.empty(len(by), np.int64)  # the documents' order
+            number[by] = np.cumsum(np.r_[False, (doc[by][1:] != doc[by][:-1]) | (mark[by][1:] != mark[by][:-1])])
+            for i, lo, hi in merge_contexts(contexts, before, anchor, number, start, length):
+                spans.append((int(doc[i]), int(mark[i]), int(start[i]) + lo, int(start[i]) + hi))
+        joined = _joined(spans)
+        spans.clear()
+        for i in range(0, len(joined), 50_000):
+            part = zip(*joined[i : i + 50_000], strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in part], schema=schema)
+        give_back()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, int, bytes], tuple[int, int]] = {}
-        spans: list[tuple[int, int, int]] = []
+        held: dict[tuple[int, int, bytes], tuple[int, int, int]] = {}
+        spans: list[tuple[int, int, int, int]] = []
+        now = None
         for batch in batches:
             known_spans = pc.is_null(batch.column("context"))
-            yield batch.filter(known_spans).select(["doc", "start", "end"])
+            yield batch.filter(known_spans).select(["doc", "mark", "start", "end"])
             batch = batch.filter(pc.invert(known_spans))
-            columns = (batch.column(c).to_pylist() for c in ("anchor", "before", "context", "doc", "start"))
-            for anchor, before, context, doc, start in zip(*columns, strict=True):
-                key, own = (anchor, before, context), (doc, start)
+            columns = (batch.column(c).to_pylist() for c in ("anchor", "before", "context", "doc", "mark", "start"))
+            for anchor, before, context, *own in zip(*columns, strict=True):
+                if anchor != now:
+                    if len(held) > HELD:
+                        yield from merged(held, spans)
+                    now = anchor
+                key, own = (anchor, before, context), tuple(own)
                 known = held.get(key)
                 if known is None:
                     held[key] = own
                 elif known != own:
                     if own < known:
                         held[key], own = own, known
-                    spans.append((own[0], own[1], own[1] + len(context)))
-        if not held:
-            return
-        keys = sorted(held, key=lambda k: k[0])
-        anchor, before = (np.array([k[i] for k in keys], np.int64) for i in (0, 1))
-        doc, start = (np.array([held[k][i] for k in keys], np.int64) for i in (0, 1))
-        contexts = [k[2] for k in keys]
-        held.clear()
-        for i, lo, hi in merge_contexts(contexts, before, anchor, doc, start, length):
-            spans.append((int(doc[i]), int(start[i]) + lo, int(start[i]) + hi))
-        joined = _joined(spans)
-        for i in range(0, len(joined), 50_000):
-            part = zip(*joined[i : i + 50_000], strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in part], schema=schema)
+                    spans.append((*own, own[2] + len(context)))
+        yield from merged(held, spans)
+
+    # anchors in order, so that those that are done needn't be held
+    dealt = firsts.repartition(F.coalesce("anchor", F.xxhash64("doc", "mark"))).sortWithinPartitions("anchor")
+    return dealt.mapInArrow(run, "doc long, mark long, start long, end long")
+
 
-    dealt = firsts.repartition(F.coalesce("anchor", F.xxhash64("doc")))
-    return dealt.mapInArrow(run, "doc long, start long, end long")
+def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return id_and_text(docs, id_col, text_col).withColumn("mark", F.xxhash64("text"))
 
 
 def repeated_spans(docs: DataFrame, *, length: int = 100, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 1 << 28) -> DataFrame:
-    """doc, spans (array of start, end in bytes, unordered, may overlap) of every document with repeats."""
+    """doc, mark (a hash of its text), spans (array of start, end in bytes, unordered, may overlap) of every document with repeats."""
     if length < GRAM + 2:
         raise ValueError(f"length must be {GRAM + 2} or more")
     prepare(docs.sparkSession)
-    firsts = first_occurrences(id_and_text(docs, id_col, text_col), length, max_bits)
-    return resolved_spans(firsts, length).groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    firsts = first_occurrences(_marked(docs, id_col, text_col), length, max_bits)
+    return resolved_spans(firsts, length).groupBy("doc", "mark").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
 
 def dedup_repeats(docs: DataFrame, *, length: int = 100, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 1 << 28) -> DataFrame:
     """doc_id, n_bytes, spans (maximal removed runs, in order) and kept (the bytes left) of every document."""
     spans = repeated_spans(docs, length=length, id_col=id_col, text_col=text_col, max_bits=max_bits)
-    texts = id_and_text(docs, id_col, text_col)
-    joined = texts.join(spans, texts["doc_id"] == spans["doc"], "left").drop("doc")
+    texts = _marked(docs, id_col, text_col)
+    spans = spans.withColumnRenamed("mark", "own")
+    joined = texts.where("doc_id is not null").join(spans, (F.col("doc_id") == F.col("doc")) & (F.col("mark") == F.col("own")), "left")
+    # rows without id would all meet in one task
+    alone = texts.where("doc_id is null").withColumn("spans", F.lit(None).cast(spans.schema["spans"].dataType))
+    joined = joined.select("doc_id", "text", "spans").unionByName(alone.select("doc_id", "text", "spans"))
     schema = pa.schema(
         [
             ("doc_id", pa.int64()),
@@ -345,14 +397,40 @@ def dedup_repeats(docs: DataFrame, *, length: int = 100, id_col: str = "doc_id",
                 rows = []
                 for doc, text, found in zip(*(piece.column(c).to_pylist() for c in ("doc_id", "text", "spans")), strict=True):
                     data = text.encode("utf-8")
-                    own = _joined([(0, s["start"], s["end"]) for s in found or ()])
+                    own = _joined([(0, 0, s["start"], s["end"]) for s in found or ()])
                     left, at = [], 0
-                    for _, lo, hi in own:
+                    for *_, lo, hi in own:
                         left.append(data[at:lo])
                         at = hi
                     left.append(data[at:])
-                    rows.append((doc, len(data), [{"start": lo, "end": hi} for _, lo, hi in own], b"".join(left)))
+                    rows.append((doc, len(data), [{"start": lo, "end": hi} for *_, lo, hi in own], b"".join(left)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     return joined.mapInArrow(run, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
 
+
+#: The query's SQL; each row is a document, by its id and a hash of its text.
+ORACLE_SQL = """
+WITH d AS (
+  SELECT doc_id, row_number() OVER (ORDER BY doc_id, text) AS r, encode(coalesce(text, '')) AS b FROM documents
+), s AS (
+  SELECT r, i, b[i : i + 99] AS g FROM (SELECT r, b, unnest(range(1, octet_length(b) - 98)) AS i FROM d)
+), again AS (
+  SELECT r, i FROM (SELECT r, i, row_number() OVER (PARTITION BY g ORDER BY r, i) AS n FROM s) WHERE n > 1
+), marked AS (
+  SELECT r, i, sum(CASE WHEN i > p + 100 THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY i) AS run
+  FROM (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS p FROM again)
+), spans AS (
+  SELECT r, min(i) AS lo, max(i) + 99 AS hi FROM marked GROUP BY r, run
+), pieces AS (
+  SELECT r, coalesce(lag(hi) OVER (PARTITION BY r ORDER BY lo), 0) + 1 AS a, lo - 1 AS z FROM spans
+  UNION ALL SELECT r, max(hi) + 1, NULL FROM spans GROUP BY r
+), kept AS (
+  SELECT r, string_agg(hex(b[a : coalesce(z, octet_length(b))]), '' ORDER BY a) AS h FROM pieces JOIN d USING (r) WHERE a <= coalesce(z, octet_length(b)) GROUP BY r
+), sums AS (
+  SELECT r, sum(hi - lo + 1) AS n_removed, count(*) AS n_spans FROM spans GROUP BY r
+)
+SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(CASE WHEN sums.r IS NULL THEN b ELSE unhex(coalesce(h, '')) END) AS kept_sha256
+FROM d LEFT JOIN sums USING (r) LEFT JOIN kept USING (r)
+"""
