@@ -5,10 +5,10 @@ Grammar, read by a deterministic parser::
     conversation := turn*
     turn         := "<|im_start|>" role NEWLINE body "<|im_end|>" NEWLINE
 
-A part of a conversation is rendered plainly, parsed again and compared with its
-source; turns that differ (their text or role holds something the grammar would read)
-are escaped, and the trip is made again until both are identical. Escaping puts one
-more backslash behind the ``<|`` of a control string, and the parser takes one off,
+A turn is rendered plainly, parsed again and compared with its source; where it differs
+(its text or role holds something the grammar would read) it is escaped, and parsing
+goes on behind it. The part as a whole is then parsed and compared once more. Escaping
+puts one more backslash behind the ``<|`` of a control string, and the parser takes one off,
 so it is reversible for any text.
 
 Turns are streamed in order, in parts of whole turns of about ``part_chars``
@@ -76,28 +76,28 @@ def parse(rendered: str) -> list[tuple[str, str, int, int]]:
     return turns
 
 
-def render(turns: list[tuple[str, str]], escaped: set[int]) -> str:
-    return "".join(
-        f"{START}{escape_role(role)}\n{escape(text)}{END}\n" if i in escaped else f"{START}{role}\n{text}{END}\n"
-        for i, (role, text) in enumerate(turns)
-    )
+def rendered_turn(role: str, text: str, escaped: bool) -> str:
+    return f"{START}{escape_role(role)}\n{escape(text)}{END}\n" if escaped else f"{START}{role}\n{text}{END}\n"
 
 
 def round_trip(turns: list[tuple[str, str]]) -> tuple[str, list[tuple[str, str, int, int]]]:
-    """The rendered text and its parse, which equals the turns."""
-    escaped: set[int] = set()
-    while True:
-        rendered = render(turns, escaped)
-        parsed = parse(rendered)
-        same = [p[:2] == t for p, t in zip(parsed, turns, strict=False)]
-        wrong = {i for i, ok in enumerate(same) if not ok} - escaped
-        if all(same) and len(parsed) == len(turns):
-            return rendered, parsed
-        if not wrong:  # the parse broke off; the first turn it lost is the one to escape
-            wrong = {min(set(range(len(turns))) - escaped, key=lambda i: (i < len(parsed), i))}
-        else:
-            wrong = {min(wrong)}  # what follows a misread turn is misread for its sake
-        escaped |= wrong
+    """The rendered text and its parse, which equals the turns.
+
+    The grammar is read from the left and a turn that is read rightly ends where its own
+    text does, so each turn is tried by itself, plainly, then escaped: time is in
+    proportion to the text, however many turns conflict.
+    """
+    pieces = []
+    for turn in turns:
+        plain = rendered_turn(*turn, escaped=False)
+        read = parse(plain)
+        fits = len(read) == 1 and read[0][:2] == turn and read[0][3] + len(END) + 1 == len(plain)
+        pieces.append(plain if fits else rendered_turn(*turn, escaped=True))
+    rendered = "".join(pieces)
+    parsed = parse(rendered)
+    if [p[:2] for p in parsed] != turns:
+        raise AssertionError("a formatted conversation is not read back as its turns")
+    return rendered, parsed
 
 
 def format_conversations(
@@ -113,7 +113,9 @@ def format_conversations(
     """conv_id, part, n_turns, formatted, loss: the formatted text in parts, in order.
 
     ``loss`` are the spans (code points, end exclusive) of the bodies of ``loss_role``
-    within the part. Parts of a conversation follow one another in one partition.
+    within the part. Parts of a conversation follow one another, in order, in one partition;
+    ``digest_conversations`` needs that order: parts that were written go back to it by
+    ``repartition("conv_id").sortWithinPartitions("conv_id", "part")``.
     """
     turns = rows.select(
         F.col(f"`{id_col}`").cast("long").alias("conv_id"),
@@ -174,7 +176,7 @@ class _Digest:
 
 
 def digest_conversations(parts: DataFrame) -> DataFrame:
-    """One row per conversation, read back from the rendered parts and their loss mask."""
+    """One row per conversation, read back from the rendered parts and their loss mask, in the order of ``format_conversations``."""
     schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
     fields = pa.schema([(f.split()[0], pa.int64() if f.endswith("long") else pa.string()) for f in schema.split(", ")])
 
