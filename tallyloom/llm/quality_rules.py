@@ -3,9 +3,11 @@
 Base rules look at a document alone. Soft rules (many symbols, many repeated lines,
 odd word lengths) are too weak to reject by themselves; their failures are summed by
 domain, each domain's failure rate is shrunk by a beta prior fitted to all domains'
-rates (empirical Bayes, by moments), and a domain whose shrunk rate passes
-``host_limit`` gets a bad verdict. Joined back, that verdict rejects those documents
-of the domain that fail a soft rule; documents without a failure always stay.
+rates (empirical Bayes, by moments), and a domain whose shrunk rate lies more than
+``deviations`` of the prior's standard deviation above its mean, or above ``host_limit``,
+gets a bad verdict. Joined back, that verdict rejects those documents of the domain that
+fail a soft rule, which other domains' documents may; documents without a failure
+always stay.
 
 Defined results: a null or empty text has no words and fails the base rules; a null
 domain is a domain of its own; a null id stays null; repeated rows are judged each
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import map_texts, slices
+from tallyloom.llm.common import give_back, join_hot, map_texts, slices
 from tallyloom.session import cut, prepare
 
 SYMBOLS = "#*$%&|<>"
@@ -108,7 +110,7 @@ def soft_failed() -> Column:
     )
 
 
-def host_verdicts(counts: DataFrame, host_limit: float = 0.5) -> DataFrame:
+def host_verdicts(counts: DataFrame, host_limit: float = 0.5, deviations: float = 0.5) -> DataFrame:
     """host, n_docs, n_failed, shrunk_rate, bad: one row per domain.
 
     The beta prior is fitted by moments over domains, weighted by their documents.
@@ -122,7 +124,6 @@ def host_verdicts(counts: DataFrame, host_limit: float = 0.5) -> DataFrame:
     fitted = hosts.agg(
         (F.sum("n_failed") / F.sum(weight)).alias("mean"),
         (F.sum(weight * rate * rate) / F.sum(weight)).alias("square"),
-        F.count("*").alias("n_hosts"),
     ).select(
         "mean",
         F.greatest(F.col("square") - F.col("mean") * F.col("mean"), F.lit(0.0)).alias("spread"),
@@ -131,22 +132,33 @@ def host_verdicts(counts: DataFrame, host_limit: float = 0.5) -> DataFrame:
     strength = F.least(
         F.greatest(F.col("mean") * (1 - F.col("mean")) / F.greatest("spread", F.lit(1e-6)) - 1, F.lit(1.0)), F.lit(1000.0)
     )
-    prior = fitted.select((F.col("mean") * strength).alias("a"), strength.alias("strength"))
+    prior = fitted.select((F.col("mean") * strength).alias("a"), strength.alias("strength"), "mean")
+    deviation = F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("strength") + 1))
     shrunk = (F.col("n_failed") + F.col("a")) / (F.col("n_docs") + F.col("strength"))
+    bad = (F.col("shrunk_rate") > F.col("mean") + deviations * deviation) | (F.col("shrunk_rate") > host_limit)
     return (
         hosts.crossJoin(F.broadcast(prior))  # one row
         .withColumn("shrunk_rate", shrunk)
-        .select("host", "n_docs", "n_failed", "shrunk_rate", (F.col("shrunk_rate") > host_limit).alias("bad"))
+        .select("host", "n_docs", "n_failed", "shrunk_rate", bad.alias("bad"))
     )
 
 
-def judge_documents(docs: DataFrame, *, host_limit: float = 0.5, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
+def judge_documents(
+    docs: DataFrame,
+    *,
+    host_limit: float = 0.5,
+    deviations: float = 0.5,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    host_col: str = "source",
+    max_broadcast: int = 100_000,
+) -> DataFrame:
     """doc_id, host, the counts, base_failed, soft_failed, shrunk_rate and kept of every document."""
     prepare(docs.sparkSession)
     counts = cut(document_counts(docs, id_col, text_col, host_col))
-    verdicts = host_verdicts(counts, host_limit).select(F.col("host").alias("__host"), "shrunk_rate", "bad")
+    verdicts = cut(host_verdicts(counts, host_limit, deviations)).select(F.col("host").alias("__host"), "n_docs", "shrunk_rate", "bad")
     return (
-        counts.join(verdicts, F.col("host").eqNullSafe(F.col("__host")), "left")
+        join_hot(counts, verdicts, "host", "__host", "n_docs", F.xxhash64("doc_id", "n_words"), max_broadcast=max_broadcast)
         .withColumn("base_failed", base_failed())
         .withColumn("soft_failed", soft_failed())
         .withColumn("kept", ~F.col("base_failed") & ~(F.col("bad") & F.col("soft_failed")))
@@ -154,21 +166,31 @@ def judge_documents(docs: DataFrame, *, host_limit: float = 0.5, id_col: str = "
     )
 
 
-def filter_documents(docs: DataFrame, *, host_limit: float = 0.5, text_col: str = "text", id_col: str = "doc_id", host_col: str = "source", max_broadcast: int = 100_000) -> DataFrame:
+def filter_documents(
+    docs: DataFrame,
+    *,
+    host_limit: float = 0.5,
+    deviations: float = 0.5,
+    text_col: str = "text",
+    id_col: str = "doc_id",
+    host_col: str = "source",
+    max_broadcast: int = 100_000,
+) -> DataFrame:
     """The rows of ``docs`` that are kept, with all their columns.
 
     Counts are taken twice rather than joined back by id, so no text is shuffled. Bad
-    hosts are broadcast up to ``max_broadcast`` of them; past that they are joined.
+    hosts are broadcast up to ``max_broadcast`` of them; past that they are joined, the
+    hosts of many documents apart.
     """
     spark = prepare(docs.sparkSession)
     counts = document_counts(docs, id_col, text_col, host_col)
-    bad = cut(host_verdicts(counts, host_limit).where("bad").select("host"))
+    bad = cut(host_verdicts(counts, host_limit, deviations).where("bad").select("host", F.col("n_docs").alias("__n")))
     few = bad.count() <= max_broadcast
     shared = spark.sparkContext.broadcast({r["host"] for r in bad.collect()} if few else None)
     source = docs
     if not few:
-        marks = bad.select(F.col("host").alias("__host"), F.lit(True).alias("__bad"))
-        source = docs.join(marks, F.col(f"`{host_col}`").eqNullSafe(F.col("__host")), "left").drop("__host")
+        marks = bad.select(F.col("host").alias("__host"), "__n", F.lit(True).alias("__bad"))
+        source = join_hot(docs, marks, host_col, "__host", "__n", F.xxhash64(F.col(f"`{text_col}`")), max_broadcast=max_broadcast)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -182,6 +204,7 @@ def filter_documents(docs: DataFrame, *, host_limit: float = 0.5, text_col: str
                 texts = piece.column(text_col).to_pylist()
                 stay = [keeps(counts_of(t or ""), bool(m)) for t, m in zip(texts, marked, strict=True)]
                 yield piece.filter(pa.array(stay, pa.bool_()))
+        give_back()
 
     return source.mapInArrow(keep, docs.schema)
 
@@ -222,7 +245,7 @@ WITH w AS (
 ), p AS (
   SELECT mean, least(greatest(mean * (1 - mean) / greatest(spread, 1e-6) - 1, 1.0), 1000.0) AS s FROM m
 ), b AS (
-  SELECT source, (f + mean * s) / (n + s) > 0.5 AS bad FROM h, p
+  SELECT source, (f + mean * s) / (n + s) > mean + 0.5 * sqrt(mean * (1 - mean) / (s + 1)) OR (f + mean * s) / (n + s) > 0.5 AS bad FROM h, p
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT (bad AND soft) AS kept
 FROM j LEFT JOIN b ON j.source IS NOT DISTINCT FROM b.source
