@@ -6,7 +6,8 @@ the root and updates at most three leaves, each in a logarithmic number of steps
 a pre-token of n bytes costs O(n log n) however long it is.
 
 Defined results: a null or empty text gives no ids and decodes to empty bytes; a
-null id stays null; repeated rows are encoded each; other columns are ignored.
+null id stays null; repeated rows are encoded each; other columns are ignored. A
+vocabulary without all 256 bytes is an error.
 """
 
 from __future__ import annotations
@@ -140,6 +141,8 @@ class Codec:
 
     def __init__(self, content: bytes, pattern: str, cache: int):
         self.ranks = load_ranks(content)
+        if lacking := [b for b in range(256) if bytes([b]) not in self.ranks]:
+            raise ValueError(f"the vocabulary lacks the bytes {lacking[:8]}")
         self.find = splitter(pattern)
         self.cache = PieceCache(self.ranks, cache)
         self.tokens = [b""] * (max(self.ranks.values(), default=-1) + 1)
