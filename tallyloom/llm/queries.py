@@ -109,5 +109,6 @@ def oracle_sql() -> dict[str, str]:
         "op1_line_dedup": line_dedup.ORACLE_SQL,
         "op5_chat_format": chat_format.ORACLE_SQL,
         "op6_quality_rules": quality_rules.ORACLE_SQL,
+        "op2_suffix_dedup": suffix_dedup.ORACLE_SQL,
         "op10_lm_score": lm_score.ORACLE_SQL,
     }

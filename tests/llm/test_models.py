@@ -61,7 +61,8 @@ def test_leaks(spark, frame):
     got = decontaminate.find_leaks(frame(docs), benchmark)
     assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == set(leaks.items())
     kept = decontaminate.drop_leaks(frame(docs), benchmark)
-    assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(str(d) for d, *_ in docs if d is None or d not in leaks)
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(str(d) for d, *_ in docs if d not in leaks)
+    assert kept.columns == frame(docs).columns and decontaminate.drop_leaks(frame(docs), benchmark.limit(0)).count() == len(docs)
     assert decontaminate.find_leaks(spark.createDataFrame([], SCHEMA), benchmark).collect() == []
     assert decontaminate.find_leaks(frame(docs), benchmark.limit(0)).collect() == []
 
@@ -124,6 +125,47 @@ def test_recall_against_brute_force(spark):
     assert len(got - want) <= 0.05 * len(got)
 
 
+@needs_data
+def test_candidates_against_exhaustive_lcs(spark):
+    """Every pair of document and item by the longest common subsequence of all stretches: 0.9 or more are found."""
+    folder = "/root/testdata/sf0.001"
+    docs, benchmark = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "benchmark"))
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(docs, benchmark).collect()}
+    items = decontaminate.Items.of([(r["item_id"], r["text"]) for r in benchmark.collect()])
+    tables = [(lcs(w), len(w), lcs(w[-8:]), len(w[-8:])) for w in items.words]
+    want = set()
+    for r in docs.select("doc_id", "text").collect():
+        words = decontaminate.numbers(r["text"] or "", items.index)
+        some = np.flatnonzero(words >= 0)
+        for i, (table, size, tail, n) in enumerate(tables):
+            reach = 2 * max(40, size)
+            mine = some[np.isin(words[some], list(table))]
+            if len(mine) < 0.6 * size:
+                continue
+            for at in range(0, max(1, len(words) - reach // 2), reach // 2):
+                stretch = words[at : at + reach].tolist()
+                shared = decontaminate.lcs_length(table, size, stretch) / size
+                if shared >= 0.8 or shared >= 0.6 and decontaminate.lcs_length(tail, n, stretch) / n >= 0.6:
+                    want.add((r["doc_id"], items.ids[i]))
+    assert len(want) > 2 and len(got & want) >= 0.9 * len(want)
+
+
+lcs = decontaminate.lcs_mask_tables
+
+
+def test_many_items_in_blocks(spark, frame, monkeypatch):
+    """Blocks of few cosines and few tables give the same leaks."""
+    items = [(i, prose(1000 + i, 35)) for i in range(40)]
+    docs = [(i, prose(i, 200) + " " + items[i][1] + " " + prose(i, 50), "s") for i in range(20)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    texts = [t for _, t, _ in docs]
+    search = decontaminate.fitted_search(frame(docs), benchmark, "doc_id", "text")
+    want = [search().matches(t) for t in texts]
+    monkeypatch.setattr(decontaminate, "COSINES", 100)
+    monkeypatch.setattr(decontaminate, "HELD_TABLES", 1)
+    assert [search().matches(t) for t in texts] == want and all(want)
+
+
 # --- 10: LM scoring -----------------------------------------------------------------
 
 
@@ -252,6 +294,32 @@ def test_pipeline_against_its_parts(spark):
     assert line_dedup is not None and simhash_dedup is not None
 
 
+def test_pipeline_on_odd_rows(spark, frame, odd_rows, tmp_path):
+    """Null and shared ids, repeated rows, clashing columns and an empty table, through all stages."""
+    import corpus_pipeline
+
+    items = [(i, prose(400 + i, 40)) for i in range(5)]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    a, b, c = (prose(600 + i, 120) for i in range(3))
+    rows = list(odd_rows) + [(70, a), (71, a), (71, b), (71, c), (None, c), (None, prose(700, 90)), (72, items[2][1] + " " + prose(3, 30)), (None, items[1][1])]
+    for table, want in ((frame(rows), True), (frame([]), False)):
+        docs = table
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            before = docs
+            docs = stage(spark, docs, str(tmp_path)).cache()
+            assert docs.columns == before.columns, name
+        kept = sorted((str(r["doc_id"]), r["text"]) for r in docs.collect())
+        final = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+        assert sorted(str(r["doc_id"]) for r in final) == [d for d, _ in kept]
+        if want:
+            texts = [t for _, t in kept]
+            assert [d for d, t in kept if t == a] == ["70"] and [d for d, t in kept if t == b] == ["71"]
+            assert [d for d, t in kept if t == c] == ["71"]  # the copy without an id goes
+            assert prose(700, 90) in texts and not any(items[i][1] in t for i in (1, 2) for t in texts)
+        else:
+            assert kept == []
+
+
 @needs_data
 def test_queries_with_sql_agree(spark):
     import duckdb
@@ -260,7 +328,7 @@ def test_queries_with_sql_agree(spark):
 
     folder = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    for table in ("documents", "conversations"):
+    for table in ("documents", "conversations", "labels"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet'")
     for name, sql in queries.oracle_sql().items():
         ours = sorted(tuple(r[c] for c in sorted(r.asDict())) for r in queries.queries()[name](spark, folder).collect())
