@@ -28,8 +28,10 @@ def once_per_tuple(df: DataFrame, keys: list[str], compute: Callable[[DataFrame]
     are broadcast: the rows themselves aren't shuffled, however few and hot the tuples are.
     """
     results = cut(compute(cut(df.select(*keys).distinct())))
-    side = F.broadcast(results) if results.count() <= max_broadcast else results
-    return df.join(side, keys, "left")
+    side = results.withColumnsRenamed({k: f"__key_{k}" for k in keys})
+    side = F.broadcast(side) if results.count() <= max_broadcast else side
+    on = [F.col(f"`{k}`").eqNullSafe(F.col(f"__key_{k}")) for k in keys]  # a null is a value like any other
+    return df.join(side, on, "left").drop(*(f"__key_{k}" for k in keys))
 
 
 def kahan_sum(values: Column) -> Column:
@@ -163,18 +165,20 @@ def option_rate(option: Column, rate: Column) -> Column:
     return F.when(free, F.lit(1.0)).otherwise(F.coalesce(rate, F.lit(0.0)))
 
 
-def permutation_trials(items: DataFrame, rates: DataFrame, key: str = "item_id", options: str = "options") -> DataFrame:
+def permutation_trials(items: DataFrame, rates: DataFrame, key: str = "item_id", options: str = "options", order: str | None = None) -> DataFrame:
     """key, p, trials: chance of a set of three lines in any order, each order once.
 
     ``rates`` has (slot, option, rate), already restricted to the item's group or joined
-    by its ``dist_id``. Wildcard lines count 1, so p may exceed 1, as documented.
+    by its ``dist_id``. Of several rates of a slot and an option the first by ``order`` (a
+    column of ``rates``) counts, the least one without it. Wildcard lines count 1, so p may
+    exceed 1, as documented.
     """
     orders = F.array(*(F.array(*(F.lit(i) for i in p)) for p in permutations(range(3))))
     lines = F.array_distinct(F.transform(orders, lambda o: F.transform(o, lambda i: F.coalesce(F.get(F.col(options), i), F.lit("")))))
-    spread = items.select(key, *(["dist_id"] if "dist_id" in items.columns else []), F.posexplode(lines).alias("order", "line"))
-    spread = spread.select("*", F.posexplode("line").alias("at", "option")).withColumn("slot", F.col("at") + 1)
+    wanted = items.select(key, *(["dist_id"] if "dist_id" in items.columns else []), F.posexplode(lines).alias("order", "line"))
+    spread = wanted.select("*", F.posexplode("line").alias("at", "option")).withColumn("slot", F.col("at") + 1)
     on = ["slot", "option", *(["dist_id"] if "dist_id" in rates.columns else [])]
-    first = rates.groupBy(*on).agg(F.min_by("rate", F.struct(*on)).alias("rate"))
+    first = rates.groupBy(*on).agg((F.min_by("rate", F.struct(order, "rate")) if order else F.min("rate")).alias("rate"))
     looked = spread.join(first, on, "left").withColumn("r", option_rate(F.col("option"), F.col("rate")))
     per_order = looked.groupBy(key, "order").agg(F.product("r").alias("p"))
     return per_order.groupBy(key).agg(F.sum("p").alias("p")).withColumn("trials", expected_trials(F.col("p")))

@@ -1,16 +1,20 @@
 """Relational operators: predicates, joins, pages, merges and counts.
 
-All are pure: time and randomness come in as columns or parameters, ties are broken by
-a full order, and nothing is collected.
+Time and randomness come in as columns or parameters and ties are broken by a full
+order. Nothing is collected; sides are counted where a bound is checked, and
+``row_numbers`` cuts its ranges to a table.
 """
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tallyloom.session import cut
+from tallyloom.operators.stateful import fold
+from tallyloom.session import cut, cut_to_table
 
 # --- predicates ---------------------------------------------------------------
 
@@ -90,18 +94,38 @@ def floor_join(rows: DataFrame, tiers: DataFrame, value: str, floor: str, max_br
     """Each row with the tier of the greatest floor not above its value; the lowest tier below that.
 
     Floors become ranges [lo, hi), so the join is on a range and each row meets one tier.
-    The tiers are broadcast up to a checked number, else Spark chooses.
+    The tiers are broadcast up to a checked number. Past it the different values and the
+    floors are sorted together by ranges, and each value takes the last floor before it.
     """
+    if tiers.count() > max_broadcast:
+        return _floor_join_sorted(rows, tiers, value, floor)
     order = W.orderBy(floor)
     ranged = tiers.withColumn("__hi", F.lead(floor).over(order)).withColumn(
         "__lo", F.when(F.row_number().over(order) > 1, F.col(floor))
     )
-    side = F.broadcast(ranged) if tiers.count() <= max_broadcast else ranged
+    side = F.broadcast(ranged)
     v = F.col(value)
     on = (F.col("__lo").isNull() | (v >= F.col("__lo"))) & (F.col("__hi").isNull() | (v < F.col("__hi")))
     return rows.join(side, on, "left").drop("__lo", "__hi")
 
 
+def _floor_join_sorted(rows: DataFrame, tiers: DataFrame, value: str, floor: str) -> DataFrame:
+    """``floor_join`` without a broadcast of the tiers; floors must differ."""
+    marks = rows.select(F.col(value).alias("__v")).where("__v is not null").distinct().withColumn("__floor", F.lit(None).cast(tiers.schema[floor].dataType))
+    marks = marks.unionByName(tiers.select(F.col(floor).alias("__v"), F.col(floor).alias("__floor")))
+    ranged = cut_to_table(marks.repartitionByRange("__v").withColumn("__p", F.spark_partition_id()), "marks")
+    # equal values lie in one range; a range begins with the greatest floor of those before it
+    tops = ranged.groupBy("__p").agg(F.max("__floor").alias("__top"))
+    before = F.max("__top").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1))
+    carried = F.broadcast(tops.select("__p", before.alias("__before")))  # one row a range
+    own = F.max("__floor").over(W.partitionBy("__p").orderBy("__v"))
+    least = F.broadcast(tiers.agg(F.min(floor).alias("__least")))
+    found = ranged.withColumn("__own", own).where("__floor is null").join(carried, "__p").crossJoin(least)
+    found = found.select("__v", F.coalesce("__own", "__before", "__least").alias("__at"))
+    named = rows.join(found, F.col(value) == F.col("__v"), "left").drop("__v")
+    return named.join(tiers, F.col("__at") == F.col(floor), "left").drop("__at")
+
+
 def prefix_join(rows: DataFrame, prefixes: DataFrame, text: str, prefix: str = "prefix", max_broadcast: int = 10_000) -> DataFrame:
     """Rows whose text starts with a prefix of the list, once each.
 
@@ -127,7 +151,7 @@ def snapshot_plus_delta(snapshot: DataFrame, deltas: DataFrame, key: str, value:
 
 
 def ratio(left: DataFrame, right: DataFrame, labels: list[str], scale: float = 1.0) -> DataFrame:
-    """left / right of series with equal labels; no row without a partner, null for a zero divisor."""
+    """left / right of series with equal labels; no row without a partner (see ``or_default``), null for a zero divisor."""
     joined = left.withColumnRenamed("value", "__l").join(right.withColumnRenamed("value", "__r"), labels)
     return joined.select(*labels, (F.try_divide(F.col("__l"), F.col("__r")) * scale).alias("value"))
 
@@ -184,7 +208,7 @@ def row_numbers(rows: DataFrame, key: str, name: str = "n") -> DataFrame:
     Rows are dealt out by ranges of the key; each range is numbered by itself and shifted
     by the sizes of the ranges before it, of which there is one row each.
     """
-    ranged = cut(rows.repartitionByRange(F.col(key)).withColumn("__p", F.spark_partition_id()))
+    ranged = cut_to_table(rows.repartitionByRange(F.col(key)).withColumn("__p", F.spark_partition_id()), "ranges")
     sizes = ranged.groupBy("__p").agg(F.count("*").alias("__size"))
     before = F.sum("__size").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1))
     shifts = sizes.select("__p", F.coalesce(before, F.lit(0)).alias("__shift"))
@@ -201,9 +225,10 @@ def chunks(rows: DataFrame, key: str, size: int = 500) -> DataFrame:
 
 
 def merge_latest(stored: DataFrame, changes: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Upsert: of rows with equal keys the latest stays, a change before a stored row of the same time."""
+    """Upsert: of rows with equal keys the latest stays, a change before a stored row of the same time, then by a hash of the row."""
     both = stored.withColumn("__new", F.lit(0)).unionByName(changes.withColumn("__new", F.lit(1)))
-    rank = F.row_number().over(W.partitionBy(*keys).orderBy(F.desc(order), F.desc("__new")))
+    rest = F.xxhash64(*(F.col(c).cast("string") for c in stored.columns))  # so that a replay takes the same row
+    rank = F.row_number().over(W.partitionBy(*keys).orderBy(F.desc(order), F.desc("__new"), rest))
     return both.withColumn("__rn", rank).where("__rn = 1").drop("__rn", "__new")
 
 
@@ -212,10 +237,25 @@ def merge_deltas(deltas: DataFrame, key: str, delta: str = "delta") -> DataFrame
 
 
 def debit_if_covered(accounts: DataFrame, debits: DataFrame, account: str, balance: str, amount: str, order: str) -> DataFrame:
-    """Each debit in order with whether all debits up to it are covered by the balance."""
-    spent = F.sum(amount).over(W.partitionBy(account).orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow))
-    joined = debits.withColumn("__spent", spent).join(accounts.select(account, balance), account, "left")
-    return joined.withColumn("accepted", F.coalesce(F.col(balance) >= F.col("__spent"), F.lit(False))).drop("__spent", balance)
+    """Each debit in order with whether what is left of the balance covers it; a refused one spends nothing.
+
+    A debit of an unknown account or of no amount is refused.
+    """
+
+    def step(left: Decimal | None, row: dict) -> tuple[Decimal | None, bool]:
+        left = row[balance] if left is None else left
+        wanted = row[amount]
+        if left is None or wanted is None or left < wanted:
+            return left, False
+        return left - wanted, True
+
+    joined = debits.join(accounts.select(account, balance), account, "left")
+    return fold(joined, account, [order], step, "accepted", "boolean", needs=[balance, amount]).drop(balance)
+
+
+def or_default(series: DataFrame, wanted: DataFrame, labels: list[str], value: str = "value", default: float = 0.0) -> DataFrame:
+    """The value of every wanted set of labels, ``default`` where the series has none."""
+    return wanted.join(series, labels, "left").withColumn(value, F.coalesce(F.col(value), F.lit(default)))
 
 
 def transfers(moves: DataFrame, sender: str, receiver: str, amount: str) -> DataFrame:

@@ -84,24 +84,25 @@ def _folded(level, start, target, catch, event, discount, prevention, destroys:
         )
 
     def close(acc: Column) -> Column:
-        reset = F.when(target <= R.RESET_STAR, zero).otherwise(acc["b12"] / (1 - acc["a12"]))
+        closed = F.when(F.abs(1 - acc["a12"]) < TINY, F.lit(1.7976931348623157e308)).otherwise(acc["b12"] / (1 - acc["a12"]))
+        reset = F.when(target <= R.RESET_STAR, zero).otherwise(closed)
         return acc["a0"] * reset + acc["b0"]
 
     return F.aggregate(stages, first, step, close)
 
 
 def expected_cost(level: Column, start: Column, target: Column, catch: Column, event: Column, discount: Column, prevention: Column) -> Column:
-    """Expected cost (whole, half up) from ``start`` to ``target``, which the level's cap bounds."""
+    """Expected cost (whole, half up) from ``start`` to ``target``, which the level's cap bounds; null where it never ends."""
     capped = F.least(target, star_cap(level))
     cost = _folded(level, start, capped, catch, event, discount, prevention, destroys=False)
-    return F.when(start >= capped, F.lit(0).cast("decimal(38,0)")).otherwise(F.round(cost.cast("decimal(38,6)"), 0).cast("decimal(38,0)"))
+    return F.when(start >= capped, F.lit(0).cast("decimal(38,0)")).otherwise(F.round(cost.try_cast("decimal(38,6)"), 0).cast("decimal(38,0)"))
 
 
 def expected_destroys(start: Column, target: Column, catch: Column, event: Column, prevention: Column) -> Column:
-    """Expected destructions (two decimals); the target is bounded by 30 alone."""
+    """Expected destructions (two decimals); the target is bounded by 30 alone; null where there is no end to them."""
     capped = F.least(target, F.lit(R.MAX_STAR))
     count = _folded(F.lit(200), start, capped, catch, event, F.lit(False), prevention, destroys=True)
-    return F.when(start >= capped, F.lit(0).cast("decimal(38,2)")).otherwise(F.round(count.cast("decimal(38,10)"), 2).cast("decimal(38,2)"))
+    return F.when(start >= capped, F.lit(0).cast("decimal(38,2)")).otherwise(F.round(count.try_cast("decimal(38,10)"), 2).cast("decimal(38,2)"))
 
 
 def success_rate(star: Column) -> Column:

@@ -16,29 +16,38 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from tallyloom.session import cut
+
 Step = Callable[[Any, dict], tuple[Any, Any]]
 
 
-def fold(rows: DataFrame, key: str, order: list[str], step: Step, result: str, kind: str) -> DataFrame:
-    """``rows`` with a column ``result``: step(state, row) -> (state, result), state None at a key's start."""
+def fold(rows: DataFrame, key: str, order: list[str], step: Step, result: str, kind: str, needs: list[str] | None = None) -> DataFrame:
+    """``rows`` with a column ``result``: step(state, row) -> (state, result), state None at a key's start.
+
+    ``row`` has the key, the order and the columns that the step ``needs`` (all if None);
+    the others pass through untouched. Rows of equal order come by a hash of the row.
+    """
     schema = T.StructType([*rows.schema.fields, T.StructField(result, T._parse_datatype_string(kind))])
     names = rows.columns
+    used = names if needs is None else list(dict.fromkeys([key, *order, *needs]))
     arrow = {"boolean": pa.bool_(), "string": pa.string(), "long": pa.int64(), "double": pa.float64()}[kind]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begun, now, state = False, None, None
         for batch in batches:
-            columns = {n: batch.column(n).to_pylist() for n in names}
+            keys = batch.column(key).to_pylist()
             found = []
-            for i in range(batch.num_rows):
-                row = {n: c[i] for n, c in columns.items()}
-                if not begun or row[key] != now:
-                    begun, now, state = True, row[key], None
-                state, value = step(state, row)
+            for own, values in zip(keys, zip(*(batch.column(n).to_pylist() for n in used), strict=True), strict=True):
+                if not begun or own != now:
+                    begun, now, state = True, own, None
+                state, value = step(state, dict(zip(used, values, strict=True)))
                 found.append(value)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, arrow)], names=[*names, result])
+            own = batch.select(names)
+            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(found, arrow)], names=[*names, result])
 
-    return rows.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
+    tie = F.xxhash64(*(F.col(n).cast("string") for n in names))
+    dealt = rows.repartition(key).withColumn("__tie", tie).sortWithinPartitions(key, *order, "__tie")
+    return dealt.mapInArrow(run, schema)
 
 
 def cooldown(events: DataFrame, key: str, seconds: str, wait: int = 60, tie: str | None = None) -> DataFrame:
@@ -50,7 +59,7 @@ def cooldown(events: DataFrame, key: str, seconds: str, wait: int = 60, tie: str
             return last, False
         return (now, True) if last is None or now - last >= wait else (last, False)
 
-    return fold(events, key, [seconds, *([tie] if tie else [])], step, "emitted", "boolean")
+    return fold(events, key, [seconds, *([tie] if tie else [])], step, "emitted", "boolean", [])
 
 
 def duplicates_in_window(events: DataFrame, key: str, seconds: str, wait: int = 300, tie: str | None = None) -> DataFrame:
@@ -59,24 +68,28 @@ def duplicates_in_window(events: DataFrame, key: str, seconds: str, wait: int =
 
 
 def budget_from_first(events: DataFrame, key: str, seconds: str, limit: int = 100, length: int = 60, tie: str | None = None) -> DataFrame:
-    """``allowed``: ``limit`` events per window, which opens at the first event after the last one ended."""
+    """``allowed``: ``limit`` events per window, which opens at the first event after the last one ended; none without a time."""
 
-    def step(state: tuple[int, int] | None, row: dict) -> tuple[tuple[int, int], bool]:
+    def step(state: tuple[int, int] | None, row: dict) -> tuple[tuple[int, int] | None, bool]:
         now = row[seconds]
+        if now is None:
+            return state, False
         start, used = state if state else (now, 0)
         if now - start >= length:
             start, used = now, 0
         ok = used < limit
         return (start, used + ok), ok
 
-    return fold(events, key, [seconds, *([tie] if tie else [])], step, "allowed", "boolean")
+    return fold(events, key, [seconds, *([tie] if tie else [])], step, "allowed", "boolean", [])
 
 
 def token_bucket(events: DataFrame, key: str, seconds: str, capacity: int = 100, refill: int = 10, every: int = 6, tie: str | None = None) -> DataFrame:
-    """``allowed``: a bucket of ``capacity`` that gets ``refill`` tokens every ``every`` seconds from a key's first event."""
+    """``allowed``: a bucket of ``capacity`` that gets ``refill`` tokens every ``every`` seconds from a key's first event; none without a time."""
 
-    def step(state: tuple[int, int, int] | None, row: dict) -> tuple[tuple[int, int, int], bool]:
+    def step(state: tuple[int, int, int] | None, row: dict) -> tuple[tuple[int, int, int] | None, bool]:
         now = row[seconds]
+        if now is None:
+            return state, False
         start, ticks, tokens = state if state else (now, 0, capacity)
         due = (now - start) // every
         if due > ticks:
@@ -84,21 +97,24 @@ def token_bucket(events: DataFrame, key: str, seconds: str, capacity: int = 100,
         ok = tokens > 0
         return (start, ticks, tokens - ok), ok
 
-    return fold(events, key, [seconds, *([tie] if tie else [])], step, "allowed", "boolean")
+    return fold(events, key, [seconds, *([tie] if tie else [])], step, "allowed", "boolean", [])
 
 
-def _first_per_group(events: DataFrame, group: dict[str, Column], ts: str, tie: str, limit: int) -> DataFrame:
-    """``allowed``: the first ``limit`` events of each group.
+def _first_per_group(events: DataFrame, group: dict[str, Column], ts: str, tie: str, limit: int, max_broadcast: int = 100_000) -> DataFrame:
+    """``allowed``: the first ``limit`` events of each group; an event without a time is not.
 
     Only the last allowed event of a group is looked for: the rank's limit is applied
-    before the shuffle, and the events are compared with that one row.
+    before the shuffle, and the events are compared with that one row, which is broadcast
+    up to a checked number of groups. A null key is a key.
     """
     stamped = events.withColumns(group)
     place = F.struct(ts, tie)
     rank = F.row_number().over(W.partitionBy(*group).orderBy(ts, tie))
-    firsts = stamped.select(*group, ts, tie).withColumn("__rn", rank).where(F.col("__rn") <= limit)
-    last = firsts.groupBy(*group).agg(F.max(place).alias("__last"))
-    return stamped.join(last, list(group), "left").withColumn("allowed", F.coalesce(place <= F.col("__last"), F.lit(False))).drop(*group, "__last")
+    firsts = stamped.where(F.col(ts).isNotNull()).select(*group, ts, tie).withColumn("__rn", rank).where(F.col("__rn") <= limit)
+    last = cut(firsts.groupBy(*(F.col(g).alias(f"{g}_of") for g in group)).agg(F.max(place).alias("__last")))
+    side = F.broadcast(last) if last.count() <= max_broadcast else last
+    joined = stamped.join(side, [F.col(g).eqNullSafe(F.col(f"{g}_of")) for g in group], "left")
+    return joined.withColumn("allowed", F.coalesce(place <= F.col("__last"), F.lit(False)) & F.col(ts).isNotNull()).drop(*group, *(f"{g}_of" for g in group), "__last")
 
 
 def daily_quota(events: DataFrame, ts: str, tie: str, limit: int = 100, key: list[str] | None = None) -> DataFrame:
@@ -120,8 +136,8 @@ def outbox_states(attempts: DataFrame, request: str, order: str, max_retries: in
     dead letters; what is done or dead stays so.
     """
 
-    def step(state: tuple[str, int] | None, row: dict) -> tuple[tuple[str, int], str]:
-        status, retries = state or ("PENDING", 0)
+    def step(state: tuple[str, int, int] | None, row: dict) -> tuple[tuple[str, int, int], str]:
+        status, retries, n = state or ("PENDING", 0, 0)
         if status in ("PENDING", "FAILED"):
             if row["intact"] is False:
                 status = "DEAD_LETTER"
@@ -130,10 +146,12 @@ def outbox_states(attempts: DataFrame, request: str, order: str, max_retries: in
             else:
                 retries += 1
                 status = "DEAD_LETTER" if retries >= max_retries else "FAILED"
-        return (status, retries), f"{status}:{retries}"
+        return (status, retries, n + 1), f"{status}:{retries}:{n}"
 
-    folded = fold(attempts, request, [order], step, "__state", "string")
-    last = folded.groupBy(request).agg(F.max_by("__state", order).alias("__state"), F.count("*").alias("n_attempts"))
+    # the key's own columns alone; states are numbered, so that attempts of one time have a last one
+    folded = fold(attempts.select(request, order, "succeeded", "intact"), request, [order], step, "__state", "string")
+    number = F.split("__state", ":")[2].cast("long")
+    last = folded.groupBy(request).agg(F.max_by("__state", number).alias("__state"), F.count("*").alias("n_attempts"))
     parts = F.split("__state", ":")
     return last.select(request, F.get(parts, 0).alias("status"), F.get(parts, 1).cast("long").alias("retry_count"), "n_attempts")
 
@@ -154,7 +172,7 @@ def health_states(events: DataFrame, key: str, order: list[str], event: str = "e
         now = HEALTH_MOVES.get((state or "HEALTHY", row[event]), state or "HEALTHY")
         return now, now
 
-    return fold(events, key, order, step, "state", "string")
+    return fold(events, key, order, step, "state", "string", [event])
 
 
 def first_of_each(messages: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -176,8 +194,8 @@ QUEUE_MOVES = {
 }
 
 
-def queue_states(actions: DataFrame, message: str, order: list[str], action: str = "action", max_retries: int = 3) -> DataFrame:
-    """``state`` of a message after each action; a refusal past ``max_retries`` goes to the dead letters."""
+def queue_step(action: str = "action", max_retries: int = 3) -> Step:
+    """The rule of ``queue_states``, for batches and streams."""
 
     def step(held: tuple[str | None, int] | None, row: dict) -> tuple[tuple[str | None, int], str | None]:
         state, retries = held or (None, 0)
@@ -189,10 +207,67 @@ def queue_states(actions: DataFrame, message: str, order: list[str], action: str
             retries = 0
         return (now, retries), now
 
-    return fold(actions, message, order, step, "state", "string")
+    return step
+
+
+def queue_states(actions: DataFrame, message: str, order: list[str], action: str = "action", max_retries: int = 3) -> DataFrame:
+    """``state`` of a message after each action; a refusal past ``max_retries`` goes to the dead letters."""
+    return fold(actions, message, order, queue_step(action, max_retries), "state", "string", [action])
 
 
 def recover_stalled(rows: DataFrame, as_of: Column, intact: Column, stale: str = "5 minutes") -> DataFrame:
     """Stalled rows go back to PENDING if their hash holds, else to the dead letters."""
     late = (F.col("status") == "PROCESSING") & (F.col("locked_at") < as_of - F.expr(f"INTERVAL {stale}"))
     return rows.withColumn("status", F.when(late & intact, "PENDING").when(late, "DEAD_LETTER").otherwise(F.col("status")))
+
+
+def bounded_buffer(events: DataFrame, buffer: str, order: list[str], capacity: int = 10_000, action: str = "action", count: str = "n") -> DataFrame:
+    """``accepted``: how many of the rows offered to a write-behind buffer it takes; a full one refuses the whole offer.
+
+    ``OFFER`` adds ``n`` entries if they fit, ``DRAIN`` takes up to ``n`` out; other actions
+    and null numbers change nothing and have no result.
+    """
+    return fold(events, buffer, order, buffer_step(capacity, action, count), "accepted", "long", [action, count])
+
+
+def buffer_step(capacity: int, action: str = "action", count: str = "n") -> Step:
+    """The rule of ``bounded_buffer``, for batches and streams."""
+
+    def step(level: int | None, row: dict) -> tuple[int, int | None]:
+        level, n = level or 0, row[count]
+        if n is None or row[action] not in ("OFFER", "DRAIN"):
+            return level, None
+        if row[action] == "DRAIN":
+            taken = min(level, n)
+            return level - taken, taken
+        return (level + n, n) if level + n <= capacity else (level, 0)
+
+    return step
+
+
+def idempotent_claims(events: DataFrame, key: str, seconds: str, action: str = "action", ttl: int = 300, tie: str | None = None) -> DataFrame:
+    """``outcome`` of claims on keys: ``BEGIN`` is ``CLAIMED``, or refused as ``PROCESSING`` or ``COMPLETED`` by a claim that lives.
+
+    A claim lives ``ttl`` seconds; ``DONE`` completes one that lives and renews it, ``FAIL``
+    gives it up. Rows without a time, other actions and ends without a claim are ``IGNORED``.
+    """
+    return fold(events, key, [seconds, *([tie] if tie else [])], claim_step(seconds, action, ttl), "outcome", "string", [action])
+
+
+def claim_step(seconds: str, action: str = "action", ttl: int = 300) -> Step:
+    """The rule of ``idempotent_claims``, for batches and streams."""
+
+    def step(state: tuple[str, int] | None, row: dict) -> tuple[tuple[str, int] | None, str]:
+        now = row[seconds]
+        if now is None:
+            return state, "IGNORED"
+        live = state if state and now - state[1] < ttl else None
+        if row[action] == "BEGIN":
+            return (live, live[0]) if live else (("PROCESSING", now), "CLAIMED")
+        if live and live[0] == "PROCESSING" and row[action] == "DONE":
+            return ("COMPLETED", now), "COMPLETED"
+        if live and live[0] == "PROCESSING" and row[action] == "FAIL":
+            return None, "RELEASED"
+        return live, "IGNORED"
+
+    return step

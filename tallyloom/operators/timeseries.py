@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tallyloom.session import cut
+
 
 def latest_point(points: DataFrame, series: list[str], ts: str = "ts", value: str = "value") -> DataFrame:
     """The last point of every series; of equal times the larger value."""
@@ -34,7 +36,7 @@ def mean_and_deviation(points: DataFrame, keys: list[str], value: str = "value")
     )
 
 
-def zscore_anomalies(points: DataFrame, series: list[str], threshold: float = 3.0, least: int = 10, rolling: int | None = None, ts: str = "ts", value: str = "value") -> DataFrame:
+def zscore_anomalies(points: DataFrame, series: list[str], threshold: float = 3.0, least: int = 10, rolling: int | None = None, ts: str = "ts", value: str = "value", max_broadcast: int = 100_000) -> DataFrame:
     """Points with z-score and severity: |z| over the threshold, CRIT from 3 on.
 
     The baseline is the whole series with the point itself, or the last ``rolling``
@@ -44,8 +46,14 @@ def zscore_anomalies(points: DataFrame, series: list[str], threshold: float = 3.
     window = W.partitionBy(*series)
     if rolling:
         window = window.orderBy(ts).rowsBetween(-(rolling - 1), W.currentRow)
-    mean, deviation, n = F.avg(value).over(window), F.stddev_samp(value).over(window), F.count(value).over(window)
-    scored = kept.withColumns({"mean": mean, "deviation": deviation, "n": n})
+        mean, deviation, n = F.avg(value).over(window), F.stddev_samp(value).over(window), F.count(value).over(window)
+        scored = kept.withColumns({"mean": mean, "deviation": deviation, "n": n})
+    else:  # sums are combined before the shuffle, so no series is gathered
+        sums = kept.groupBy(*(F.col(s).alias(f"__{s}") for s in series)).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("deviation"), F.count(value).alias("n"))
+        baselines = cut(sums.where((F.col("n") >= least) & (F.col("deviation") > 0)))
+        on = [F.col(s).eqNullSafe(F.col(f"__{s}")) for s in series]
+        few = baselines.count() <= max_broadcast
+        scored = kept.join(F.broadcast(baselines) if few else baselines, on).drop(*(f"__{s}" for s in series))
     z = F.abs(F.col(value) - F.col("mean")) / F.col("deviation")
     scored = scored.where((F.col("n") >= least) & (F.col("deviation") > 0)).withColumn("z", z)
     return scored.where(F.col("z") >= threshold).withColumn("severity", F.when(F.col("z") >= 3.0, "CRIT").otherwise("WARN"))
@@ -57,13 +65,20 @@ def deviation_percent(value: Column, baseline: Column) -> Column:
 
 
 def increase(points: DataFrame, series: list[str], seconds: int, ts: str = "ts", value: str = "value") -> DataFrame:
-    """Points with ``increase`` over the last ``seconds``: a fall is a reset, which counts from 0."""
+    """Points with ``increase`` over the last ``seconds``: a fall is a reset, which counts from 0.
+
+    Steps count between points of the window; the step into its first point doesn't. With
+    the steps summed up along a series that is the window's last sum less its first, and
+    as the sums never fall, its largest less its least.
+    """
     order = W.partitionBy(*series).orderBy("__s", value)
     stamped = points.withColumn("__s", F.unix_micros(F.col(ts).cast("timestamp")))
     before = F.lag(value).over(order)
     step = F.when(before.isNull(), F.lit(0.0)).when(F.col(value) < before, F.col(value)).otherwise(F.col(value) - before)
+    run = F.sum("__step").over(order.rowsBetween(W.unboundedPreceding, W.currentRow))
     ranged = W.partitionBy(*series).orderBy("__s").rangeBetween(-seconds * 1_000_000, 0)
-    return stamped.withColumn("__step", step).withColumn("increase", F.sum("__step").over(ranged)).drop("__s", "__step")
+    summed = stamped.withColumn("__step", step).withColumn("__run", run)
+    return summed.withColumn("increase", F.max("__run").over(ranged) - F.min("__run").over(ranged)).drop("__s", "__step", "__run")
 
 
 def rate(points: DataFrame, series: list[str], seconds: int, **names: str) -> DataFrame:
@@ -134,11 +149,11 @@ def histogram_quantile(buckets: DataFrame, keys: list[str], q: float, le: str =
     return first.groupBy(*keys).agg(F.min("__v").alias("quantile"))
 
 
-def golden_signals(requests: DataFrame, keys: list[str], latency: str, failed: Column, accuracy: int | None = None) -> DataFrame:
+def golden_signals(requests: DataFrame, keys: list[str], latency: str, failed: Column, accuracy: int | None = 10_000) -> DataFrame:
     """Latency percentiles, mean, max, traffic and error rate of each group.
 
-    Percentiles are exact and interpolated, which needs memory for a group's different
-    values; ``accuracy`` takes approximate ones, of bounded memory, for large groups.
+    Percentiles are approximate, of bounded memory; ``accuracy`` None takes exact,
+    interpolated ones, which need memory for a group's different values.
     """
 
     def percentile(q: float) -> Column:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from tallyloom.operators import refdata as R
 
@@ -51,8 +50,10 @@ def preset_costs(items: DataFrame, owner: str, preset: str, costs: tuple[str, ..
 
 def dearest_preset(presets: DataFrame, owner: str, preset: str, cost: str = "total_cost") -> DataFrame:
     """One row per owner: the preset of the largest cost; the first wins ties."""
-    rank = F.row_number().over(W.partitionBy(owner).orderBy(F.desc(cost), F.col(preset)))
-    return presets.withColumn("__rn", rank).where("__rn = 1").drop("__rn")
+    place = F.struct(F.col(cost).isNull(), -F.col(cost), F.col(preset))
+    rest = [c for c in presets.columns if c != owner]
+    best = presets.groupBy(owner).agg(F.min_by(F.struct(*rest), place).alias("__best"))  # combined before the shuffle, unsorted
+    return best.select(*(F.col(owner) if c == owner else F.col(f"__best.{c}").alias(c) for c in presets.columns))
 
 
 def secondary_part(slot: Column, part: Column) -> Column:

@@ -73,12 +73,15 @@ def key_pattern_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("fresh_rows", """
     SELECT o_orderkey, o_orderdate > TIMESTAMP '2001-08-01' - INTERVAL 15 DAY AS fresh,
-           o_orderdate > TIMESTAMP '2001-08-01' - INTERVAL 30 DAY AS active
-    FROM orders WHERE o_orderdate > TIMESTAMP '2001-05-01'""")
+           o_orderdate > TIMESTAMP '2001-08-01' - INTERVAL 30 DAY AS active,
+           o_orderdate <= TIMESTAMP '2001-08-01' - INTERVAL 15 MINUTE AS refresh
+    FROM orders""")
 def fresh_rows(spark: SparkSession, folder: str) -> DataFrame:
     as_of = F.lit("2001-08-01").cast("timestamp_ntz")
-    rows = read_table(spark, folder, "orders").where(F.col("o_orderdate") > F.lit("2001-05-01").cast("timestamp_ntz"))
-    return rows.select("o_orderkey", R.is_fresh(F.col("o_orderdate"), as_of, "15 days").alias("fresh"), R.is_fresh(F.col("o_orderdate"), as_of, "30 days").alias("active"))
+    at = F.col("o_orderdate")
+    return read_table(spark, folder, "orders").select(
+        "o_orderkey", R.is_fresh(at, as_of, "15 days").alias("fresh"), R.is_fresh(at, as_of, "30 days").alias("active"), R.is_stale(at, as_of, "15 minutes").alias("refresh")
+    )
 
 
 @query("conjunctive_search", """
@@ -313,8 +316,11 @@ def balance_transfer(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("debit_if_covered", """
-    SELECT o_orderkey, CAST(c_acctbal * 100 AS DECIMAL(18,2)) >= sum(CAST(o_totalprice AS DECIMAL(18,2))) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS accepted
-    FROM orders JOIN customer ON c_custkey = o_custkey""")
+    WITH RECURSIVE o AS (SELECT o_orderkey, o_custkey AS k, CAST(c_acctbal * 100 AS DECIMAL(18,2)) AS balance, CAST(o_totalprice AS DECIMAL(18,2)) AS amount,
+             row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn FROM orders JOIN customer ON c_custkey = o_custkey),
+    f AS (SELECT k, o_orderkey, rn, CASE WHEN balance >= amount THEN balance - amount ELSE balance END AS point, balance >= amount AS accepted FROM o WHERE rn = 1
+          UNION ALL SELECT o.k, o.o_orderkey, o.rn, CASE WHEN point >= amount THEN point - amount ELSE point END, point >= amount FROM f JOIN o ON o.k = f.k AND o.rn = f.rn + 1)
+    SELECT o_orderkey, accepted FROM f""")
 def debit_if_covered(spark: SparkSession, folder: str) -> DataFrame:
     accounts = read_table(spark, folder, "customer").select("c_custkey", (F.col("c_acctbal") * 100).cast("decimal(18,2)").alias("balance"))
     debits = read_table(spark, folder, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", money("o_totalprice").alias("amount"))

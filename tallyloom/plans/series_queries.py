@@ -26,7 +26,7 @@ def _seconds(column: str = "ts") -> F.Column:
            round(quantile_cont(value, 0.99), 6) AS p99, round(CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) / count(value), 6) AS mean, max(value) AS most,
            round(CAST(count(*) FILTER (WHERE value > 100) AS DOUBLE) / count(*), 6) AS error_rate FROM events GROUP BY 1""")
 def golden_signals(spark: SparkSession, folder: str) -> DataFrame:
-    found = TS.golden_signals(_events(spark, folder), ["event_type"], "value", F.col("value") > 100)
+    found = TS.golden_signals(_events(spark, folder), ["event_type"], "value", F.col("value") > 100, accuracy=None)
     return found.select("event_type", "n", "most", *(F.round(c, 6).alias(c) for c in ("p50", "p95", "p99", "mean", "error_rate")))
 
 
@@ -63,11 +63,17 @@ def histogram_quantile(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("error_ratio", """
-    SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, round(100.0 * count(*) FILTER (WHERE event_type = 'error') / count(*), 6) AS ratio FROM events GROUP BY 1""")
+    WITH d AS (SELECT CAST(unnest(generate_series(min(date_trunc('day', ts)) - INTERVAL 3 DAY, max(date_trunc('day', ts)), INTERVAL 1 DAY)) AS DATE) AS day FROM events)
+    SELECT CAST(d.day AS VARCHAR) AS day, coalesce(round(100.0 * count(*) FILTER (WHERE event_type = 'error') / nullif(count(event_id), 0), 6), 0.0) AS ratio
+    FROM d LEFT JOIN events ON CAST(ts AS DATE) = d.day GROUP BY d.day""")
 def error_ratio(spark: SparkSession, folder: str) -> DataFrame:
+    """Error rate of every day from three before the first on; a day without events has 0."""
     errors = F.sum(F.when(F.col("event_type") == "error", 1).otherwise(0))
-    day = F.to_date("ts").cast("string").alias("day")
-    return _events(spark, folder).groupBy(day).agg(F.round(F.try_divide(errors, F.count("*")) * 100, 6).alias("ratio"))
+    events = _events(spark, folder).withColumn("day", F.to_date("ts"))
+    series = events.groupBy("day").agg((F.try_divide(errors, F.count("*")) * 100).alias("value"))
+    wanted = events.agg(F.min("day").alias("lo"), F.max("day").alias("hi")).select(F.explode(F.expr("sequence(date_sub(lo, 3), hi)")).alias("day"))
+    found = R.or_default(series, wanted, ["day"])
+    return found.select(F.col("day").cast("string").alias("day"), F.round("value", 6).alias("ratio"))
 
 
 def _counters(spark: SparkSession, folder: str) -> DataFrame:
@@ -80,9 +86,8 @@ def _counters(spark: SparkSession, folder: str) -> DataFrame:
 
 _COUNTERS = """WITH e AS (SELECT *, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) // 37 AS g FROM events),
     c AS (SELECT event_id, user_id, ts, CAST(sum(CAST(round(value * 100) AS BIGINT)) OVER (PARTITION BY user_id, g ORDER BY event_id) AS DOUBLE) AS v FROM e),
-    s AS (SELECT *, CASE WHEN lag(v) OVER w IS NULL THEN 0 WHEN v < lag(v) OVER w THEN v ELSE v - lag(v) OVER w END AS step FROM c
-          WINDOW w AS (PARTITION BY user_id ORDER BY ts, v)),
-    i AS (SELECT event_id, user_id, sum(step) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 12 HOUR PRECEDING AND CURRENT ROW) AS increase FROM s)"""
+    w AS (SELECT event_id, user_id, list_transform(list_sort(list({'t': ts, 'v': v}) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 12 HOUR PRECEDING AND CURRENT ROW)), lambda p: p.v) AS vs FROM c),
+    i AS (SELECT event_id, user_id, coalesce(list_sum(list_transform(range(2, len(vs) + 1), lambda k: CASE WHEN vs[k] < vs[k - 1] THEN vs[k] ELSE vs[k] - vs[k - 1] END)), 0) AS increase FROM w)"""
 
 
 @query("counter_increase", _COUNTERS + " SELECT event_id, user_id, increase FROM i")
@@ -171,10 +176,10 @@ def gauge_snapshot(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("state_code", """
-    SELECT user_id, max(CASE WHEN event_type = 'error' THEN 1 WHEN event_type = 'signup' THEN 2 ELSE 0 END) AS state FROM events WHERE value > 100 GROUP BY 1""")
+    SELECT user_id, max(CASE WHEN event_type = 'error' THEN 1 WHEN event_type = 'signup' THEN 2 ELSE 0 END) AS state FROM events GROUP BY 1""")
 def state_code(spark: SparkSession, folder: str) -> DataFrame:
     flag = lambda kind: F.when(F.col("event_type") == kind, 1).otherwise(0)
-    rows = _events(spark, folder).where("value > 100").withColumn("s", TS.state_code(flag("error"), flag("signup")))
+    rows = _events(spark, folder).withColumn("s", TS.state_code(flag("error"), flag("signup")))
     return rows.groupBy("user_id").agg(F.max("s").alias("state"))
 
 
@@ -341,10 +346,10 @@ def line_filter(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("anomaly_reason", """
-    SELECT event_id, '[WARN] ' || event_type || ': Current value ' || printf('%.2f', value) || ' > threshold 50.00 ()' AS reason FROM events WHERE value > 50""")
+    SELECT event_id, CASE WHEN value > 50 THEN '[WARN] ' || event_type || ': Current value ' || printf('%.2f', value) || ' > threshold 50.00 ()' END AS reason FROM events""")
 def anomaly_reason(spark: SparkSession, folder: str) -> DataFrame:
     from tallyloom.functions.keys import threshold_reason
 
     none = F.lit(None).cast("string")
     text = threshold_reason(F.lit("WARN"), F.col("event_type"), F.col("value"), none, F.lit(50.0), none)
-    return _events(spark, folder).where("value > 50").select("event_id", text.alias("reason"))
+    return _events(spark, folder).select("event_id", F.when(F.col("value") > 50, text).alias("reason"))
