@@ -1,11 +1,13 @@
 """Structured Streaming: ingest, merges, throttles and monitors."""
 
 from tallyloom.streaming.pipelines import (
+    MemoryChannel,
     capped_log,
     cooldown_stream,
     deduplicated,
     delta_sync,
     envelopes,
+    fold_stream,
     gzip_cache,
     ingest,
     popularity,
@@ -13,15 +15,18 @@ from tallyloom.streaming.pipelines import (
     relation_sync,
     replay,
     saturation_monitor,
+    webhook,
     write_alerts,
 )
 
 __all__ = [
+    "MemoryChannel",
     "capped_log",
     "cooldown_stream",
     "deduplicated",
     "delta_sync",
     "envelopes",
+    "fold_stream",
     "gzip_cache",
     "ingest",
     "popularity",
@@ -29,5 +34,6 @@ __all__ = [
     "relation_sync",
     "replay",
     "saturation_monitor",
+    "webhook",
     "write_alerts",
 ]
