@@ -47,3 +47,23 @@ class Settings:
                 at = min(i for i in (line.find("="), line.find(":"), len(line)) if i >= 0)
                 pairs[line[:at].strip()] = line[at + 1 :].strip()
         return cls().updated(pairs)
+
+    @classmethod
+    def from_yaml(cls, text: str) -> Settings:
+        """Scalars of a mapping, nested by indentation: ``like: {newline} sync-size: 500`` is ``like_sync_size``."""
+        pairs: dict[str, str] = {}
+        path: list[tuple[int, str]] = []
+        for line in text.splitlines():
+            line = line.split(" #", 1)[0].rstrip()
+            if not line.strip() or line.lstrip().startswith("#"):
+                continue
+            name, colon, value = line.strip().partition(":")
+            if not colon:
+                raise ValueError(f"no mapping: {line.strip()}")
+            depth = len(line) - len(line.lstrip())
+            path = [p for p in path if p[0] < depth]
+            if value.strip():
+                pairs["_".join([*(n for _, n in path), name.strip()])] = value.strip().strip("'\"")
+            else:
+                path.append((depth, name.strip()))
+        return cls().updated(pairs)

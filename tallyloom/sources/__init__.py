@@ -11,9 +11,11 @@ from tallyloom.sources.files import (
     range_series,
     rate_table,
     signal_catalog,
+    signals_of,
+    slow_query_entries,
     slow_query_log,
 )
-from tallyloom.sources.tables import read_table
+from tallyloom.sources.tables import jdbc_table, read_table, write_jdbc
 
 __all__ = [
     "all_presets",
@@ -21,11 +23,15 @@ __all__ = [
     "dashboard_signals",
     "deflate",
     "inflate",
+    "jdbc_table",
     "keys_like",
     "preset_items",
     "range_series",
     "rate_table",
     "read_table",
     "signal_catalog",
+    "signals_of",
+    "slow_query_entries",
     "slow_query_log",
+    "write_jdbc",
 ]

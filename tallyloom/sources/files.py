@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyloom.session import cut
+
 RATES = "cube_type string, option string, rate double, slot int, potential_option_grade string, base_equipment_level int, item_equipment_slot string"
 _TEXT = (
     "item_equipment_slot", "item_equipment_part", "item_name", "item_icon", "base_equipment_level", "potential_option_grade",
@@ -114,33 +116,39 @@ _STEPS = T.ArrayType(T.StructType([T.StructField("value", T.DoubleType())]))
 _FIELD = T.StructType([T.StructField("defaults", T.StructType([T.StructField("unit", T.StringType()), T.StructField("thresholds", T.StructType([T.StructField("steps", _STEPS)]))]))])
 
 
-def _panel(depth: int) -> T.StructType:
-    fields = [
+_PANEL = T.StructType(
+    [
         T.StructField("id", T.IntegerType()),
         T.StructField("type", T.StringType()),
         T.StructField("title", T.StringType()),
         T.StructField("datasource", T.StructType([T.StructField("type", T.StringType())])),
         T.StructField("fieldConfig", _FIELD),
         T.StructField("targets", T.ArrayType(_TARGET)),
+        T.StructField("panels", T.StringType()),  # JSON, parsed when a row of panels is opened
     ]
-    if depth:
-        fields.append(T.StructField("panels", T.ArrayType(_panel(depth - 1))))
-    return T.StructType(fields)
+)
+
 
+def dashboard_signals(spark: SparkSession, folder: str) -> DataFrame:
+    """Signals of all ``*.json`` dashboards below a folder."""
+    return signals_of(spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.json"))
 
-def dashboard_signals(spark: SparkSession, folder: str, depth: int = 3) -> DataFrame:
-    """Signals of all ``*.json`` dashboards below a folder; rows of panels are opened ``depth`` levels deep."""
+
+def signals_of(docs: DataFrame, json: str = "value") -> DataFrame:
+    """Signals of dashboards given as JSON text; rows of panels are opened until none are left."""
     from tallyloom.functions.keys import signal_priority, slo_tag, stable_id, thresholds
 
-    root = T.StructType([T.StructField("uid", T.StringType()), T.StructField("title", T.StringType()), T.StructField("panels", T.ArrayType(_panel(depth)))])
-    text = spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.json")
-    docs = text.select(F.from_json("value", root).alias("d")).select(F.coalesce("d.uid", F.lit("")).alias("uid"), F.coalesce("d.title", F.lit("")).alias("title"), F.explode("d.panels").alias("panel"))
-    panels, level = None, docs
-    for left in range(depth, -1, -1):
-        own = level.where(F.coalesce(F.col("panel.type"), F.lit("")) != "row").select("uid", "title", *(F.col(f"panel.{f.name}").alias(f"p_{f.name}") for f in _panel(0)))
+    root = T.StructType([T.StructField("uid", T.StringType()), T.StructField("title", T.StringType()), T.StructField("panels", T.ArrayType(_PANEL))])
+    level = docs.select(F.from_json(json, root).alias("d")).select(F.coalesce("d.uid", F.lit("")).alias("uid"), F.coalesce("d.title", F.lit("")).alias("title"), F.explode("d.panels").alias("panel"))
+    panels, is_row = None, F.coalesce(F.col("panel.type"), F.lit("")) == "row"
+    while True:
+        level = cut(level)
+        own = level.where(~is_row).select("uid", "title", *(F.col(f"panel.{f.name}").alias(f"p_{f.name}") for f in _PANEL))
         panels = own if panels is None else panels.unionByName(own)
-        if left:
-            level = level.where(F.col("panel.type") == "row").select("uid", "title", F.explode("panel.panels").alias("panel"))
+        inner = level.where(is_row & F.col("panel.panels").isNotNull())
+        if inner.isEmpty():
+            break
+        level = inner.select("uid", "title", F.explode(F.from_json("panel.panels", T.ArrayType(_PANEL))).alias("panel"))
     signals = panels.withColumn("t", F.explode("p_targets")).where(F.length(F.trim("t.expr")) > 0)
     kind = F.coalesce(_given(F.col("t.datasource.type")), _given(F.col("p_datasource.type")), F.lit("prometheus"))
     panel_title = F.coalesce("p_title", F.lit("Untitled Panel"))
@@ -181,7 +189,12 @@ def range_series(responses: DataFrame, json: str) -> DataFrame:
 
 def slow_query_log(spark: SparkSession, path: str) -> DataFrame:
     """Entries of a log whose records begin with ``# Time:``, with their labels."""
-    raw = spark.read.text(path, lineSep="# Time: ").where(F.length(F.trim("value")) > 0)
+    return slow_query_entries(spark.read.text(path, lineSep="# Time: "))
+
+
+def slow_query_entries(records: DataFrame) -> DataFrame:
+    """Labels of records (column ``value``) cut at ``# Time: ``."""
+    raw = records.where(F.length(F.trim("value")) > 0)
     text = F.col("value")
 
     def label(pattern: str) -> Column:
