@@ -24,13 +24,23 @@ SHORT = 8
 SHOWN = 4
 
 
+#: What a text must hold for a rule to apply, in the rules' order; most texts skip the dearest rules.
+GUARDS = ("eyJ", None, None, "@", None, "-")
+
+
 def mask_pii(text: Column) -> Column:
     masked = text
-    for pattern, mask in PII_RULES:
-        masked = F.regexp_replace(masked, pattern, mask)
+    for (pattern, mask), guard in zip(PII_RULES, GUARDS, strict=True):
+        masked = _guarded(masked, pattern, mask, guard) if guard else F.regexp_replace(masked, pattern, mask)
     return F.when(F.trim(text) == "", text).otherwise(masked)
 
 
+def _guarded(text: Column, pattern: str, mask: str, guard: str) -> Column:
+    """A replacement where the text holds the guard; as a lambda over one element, so that the text is computed once."""
+    replaced = F.transform(F.array(text), lambda t: F.when(t.contains(guard), F.regexp_replace(t, F.lit(pattern), F.lit(mask))).otherwise(t))
+    return F.get(replaced, 0)
+
+
 def mask_stack_trace(text: Column) -> Column:
     masked = mask_pii(text)
     for pattern, mask in HOME_RULES:
