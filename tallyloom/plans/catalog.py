@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyloom.plans import numeric_queries, relational_queries, series_queries, text_queries  # noqa: F401  register
+from tallyloom.plans import numeric_queries, relational_queries, series_queries, source_queries, text_queries  # noqa: F401  register
 from tallyloom.plans.registry import QUERIES, SQL, Query
 
 

@@ -89,13 +89,13 @@ def expected_trials(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("rate_lookup", """
     SELECT p_partkey, slot, option, rate FROM part,
-      (VALUES ('a', 1, 0.5::DOUBLE), ('b', 1, 0.5), ('a', 2, 0.25), ('b', 2, 0.75)) t(option, slot, rate) WHERE p_size = 10""")
+      (VALUES ('a', 1, 0.5::DOUBLE), ('b', 1, 0.5), ('a', 2, 0.25), ('b', 2, 0.75)) t(option, slot, rate)""")
 def rate_lookup(spark: SparkSession, folder: str) -> DataFrame:
     from tallyloom.operators.relational import rate_lookup as lookup
 
     rows = [("BLACK", 200, "cap", "RARE", s, o, r, v) for o, s, r in (("a", 1, 0.5), ("b", 1, 0.5), ("a", 2, 0.25), ("b", 2, 0.75)) for v in ("v1", "v2")]
     table = spark.createDataFrame(rows, "cube_type string, level int, part string, grade string, slot int, option string, rate double, table_version string")
-    parts = read_table(spark, folder, "part").where("p_size = 10")
+    parts = read_table(spark, folder, "part")
     items = D.slots_of(parts.select("p_partkey", F.lit("BLACK").alias("cube_type"), F.lit(200).alias("level"), F.lit("cap").alias("part"), F.lit("RARE").alias("grade")), 2)
     return lookup(items, table, "v2").select("p_partkey", "slot", "option", "rate")
 
@@ -254,7 +254,12 @@ def star_rates(spark: SparkSession, folder: str) -> DataFrame:
     return read_table(spark, folder, "part").select("p_partkey", S.success_rate(F.col("p_size")).alias("success"), S.destroy_rate(F.col("p_size")).alias("destroy"))
 
 
-_TRIES = ", ".join(f"({s}, {REF.STAR_DIVISOR[s]}, {t}::DECIMAL(18,12), {f}::DECIMAL(18,12))" for s, (t, f) in enumerate(map(S.noljang_tries, range(15))))
+_TRIES = (  # star, divisor, tries and failures to ten digits
+    "(0, 36, 1.587301587::DECIMAL(18,12), 0.5873015873::DECIMAL(18,12)), (1, 36, 1.731601732, 0.7316017316), (2, 36, 1.904761905, 0.9047619048), (3, 36, 2.380952381, 1.380952381), "
+    "(4, 36, 3.174603175, 2.174603175), (5, 36, 4.761904762, 3.761904762), (6, 36, 5.012531328, 4.012531328), (7, 36, 5.291005291, 4.291005291), (8, 36, 5.602240896, 4.602240896), "
+    "(9, 36, 5.952380952, 4.952380952), (10, 571, 5.952380952, 4.952380952), (11, 314, 6.802721088, 5.802721088), (12, 214, 7.936507937, 6.936507937), (13, 157, 9.523809524, 8.523809524), "
+    "(14, 107, 9.523809524, 8.523809524)"
+)
 
 
 @query("noljang_cost", f"""WITH n(s, dv, tries, fails) AS (VALUES {_TRIES}),
@@ -279,13 +284,13 @@ def noljang_cost(spark: SparkSession, folder: str) -> DataFrame:
     j AS (SELECT a.stage * 2 AS x0, b.stage * 4 AS x1, c.stage * 6 AS x2, d.stage * 8 AS x3, a.prob * b.prob * c.prob * d.prob AS p
           FROM o a, o b, o c, o d WHERE a.i = 0 AND b.i = 1 AND c.i = 2 AND d.i = 3),
     m AS (SELECT m0, m1, m2, m3, m0 + m1 + m2 + m3 AS k FROM (VALUES (0), (1)) a(m0), (VALUES (0), (1)) b(m1), (VALUES (0), (1)) c(m2), (VALUES (0), (1)) d(m3) WHERE m0 + m1 + m2 + m3 > 0)
-    SELECT target, round(sum(p / CASE k WHEN 1 THEN 4 WHEN 2 THEN 6 WHEN 3 THEN 4 ELSE 1 END) / 4, 9) AS p
-    FROM (SELECT DISTINCT p_size AS target FROM part) t, j, m WHERE m0 * x0 + m1 * x1 + m2 * x2 + m3 * x3 >= target GROUP BY 1""")
+    SELECT target, round(sum(CASE WHEN m0 * x0 + m1 * x1 + m2 * x2 + m3 * x3 >= target THEN p / CASE k WHEN 1 THEN 4 WHEN 2 THEN 6 WHEN 3 THEN 4 ELSE 1 END ELSE 0 END) / 4, 9) AS p
+    FROM (SELECT DISTINCT p_size AS target FROM part) t, j, m GROUP BY 1""")
 def flame_subset_dp(spark: SparkSession, folder: str) -> DataFrame:
     items = read_table(spark, folder, "part").select(F.col("p_size").alias("target")).distinct().select(F.col("target").alias("id"), "target", F.lit(False).alias("boss"))
     rows = [(i, (i + 1) * s * 2, p) for i in range(4) for s, p in ((1, 0.5), (2, 0.3), (3, 0.2))]
     pmfs = items.select("id").join(F.broadcast(spark.createDataFrame(rows, "position int, score int, prob double")))
-    found = FL.flame_trials(items, pmfs, "id").where("p > 0")
+    found = FL.flame_trials(items, pmfs, "id")
     return found.select(F.col("id").alias("target"), F.round("p", 9).alias("p"))
 
 
@@ -404,13 +409,20 @@ def summary_upsert(spark: SparkSession, folder: str) -> DataFrame:
     return merge_latest(stored, changed, ["l_orderkey", "preset_no"], "calculated_at").drop("calculated_at")
 
 
-@query("engine_dispatch", f"""WITH {_RATES}, v1 AS (SELECT dist_id, 1 / sum(prob) AS v FROM pmf WHERE slot = 1 AND value >= 6 GROUP BY 1), dp AS (SELECT dist_id, 1 / sum(prob) AS d FROM pmf WHERE slot = 2 AND value >= 6 GROUP BY 1)
+@query("engine_dispatch", f"""WITH {_CONVOLVED}, dp AS (SELECT dist_id, 1 / sum(prob) AS d FROM conv WHERE target = 15 AND value >= 15 GROUP BY 1),
+    perms AS (SELECT DISTINCT dist_id, o[i] AS a, o[j] AS b, o[k] AS c FROM (SELECT DISTINCT dist_id, [dist_id % 4 * 3, dist_id // 4 % 4 * 3, 6] AS o FROM pmf), (VALUES (1, 2, 3), (1, 3, 2), (2, 1, 3), (2, 3, 1), (3, 1, 2), (3, 2, 1)) t(i, j, k)),
+    v1 AS (SELECT perms.dist_id, 1 / sum(x.prob * y.prob * z.prob) AS v FROM perms JOIN pmf x ON x.dist_id = perms.dist_id AND x.slot = 1 AND x.value = a
+      JOIN pmf y ON y.dist_id = perms.dist_id AND y.slot = 2 AND y.value = b JOIN pmf z ON z.dist_id = perms.dist_id AND z.slot = 3 AND z.value = c GROUP BY 1)
     SELECT v1.dist_id, round(CASE WHEN v1.dist_id % 2 = 0 THEN d ELSE v END, 6) AS trials, round(abs(v - d), 6) AS drift FROM v1 JOIN dp USING (dist_id)""")
 def engine_dispatch(spark: SparkSession, folder: str) -> DataFrame:
-    pmf = _pmf(spark, folder).withColumn("target", F.lit(6))
-    engine = lambda slot: D.tail(pmf.where(F.col("slot") == slot), ["dist_id"]).withColumn("trials", D.expected_trials(F.col("p")))
-    items = pmf.select("dist_id").distinct().withColumn("is_dp", F.col("dist_id") % 2 == 0)
-    found = D.dispatch(items, engine(2), engine(1), "dist_id")
+    """Convolution of three slots for a sum of 15, or permutations of three given lines, and how far they are apart."""
+    line = lambda n: (F.floor(F.col("dist_id") / n) % 4 * 3).cast("int").cast("string")
+    pmf = _pmf(spark, folder)
+    items = pmf.select("dist_id").distinct().select("dist_id", F.col("dist_id").alias("item_id"), F.array(line(1), line(4), F.lit("6")).alias("options"), (F.col("dist_id") % 2 == 0).alias("is_dp"))
+    chances = D.tail(D.convolve(pmf, items.select("dist_id", F.lit(15).alias("target"))), ["dist_id", "target"])
+    dp = chances.select(F.col("dist_id").alias("item_id"), D.expected_trials(F.col("p")).alias("trials"))
+    v1 = D.permutation_trials(items, pmf.select("dist_id", "slot", F.col("value").cast("string").alias("option"), F.col("prob").alias("rate")))
+    found = D.dispatch(items, dp, v1)
     return found.select("dist_id", F.round("trials", 6).alias("trials"), F.round("drift", 6).alias("drift"))
 
 
@@ -434,9 +446,9 @@ def flame_stage_values(spark: SparkSession, folder: str) -> DataFrame:
     return items.join(F.broadcast(values), ["bucket", "option", "stage"], "left").select("p_partkey", F.col("value").alias("str_value"))
 
 
-@query("starforce_table", _chain_sql("p_size * 10", "CASE WHEN p_size * 10 <= 94 THEN 5 WHEN p_size * 10 <= 107 THEN 8 WHEN p_size * 10 <= 117 THEN 10 WHEN p_size * 10 <= 127 THEN 15 WHEN p_size * 10 <= 137 THEN 20 ELSE 22 END", "false", "0.7", "x.c").replace("FROM part)", "FROM part WHERE p_size IN (10, 11, 12, 13, 14, 20))") + """
+@query("starforce_table", _chain_sql("p_size * 10", "CASE WHEN p_size * 10 <= 94 THEN 5 WHEN p_size * 10 <= 107 THEN 8 WHEN p_size * 10 <= 117 THEN 10 WHEN p_size * 10 <= 127 THEN 15 WHEN p_size * 10 <= 137 THEN 20 ELSE 22 END", "false", "0.7", "x.c") + """
     SELECT DISTINCT CAST(lv AS INTEGER) AS level, CAST(floor(e / 100 + 0.5) * 100 AS BIGINT) AS cost FROM r""")
 def starforce_table(spark: SparkSession, folder: str) -> DataFrame:
-    levels = read_table(spark, folder, "part").where(F.col("p_size").isin(10, 11, 12, 13, 14, 20)).select((F.col("p_size") * 10).alias("level")).distinct()
+    levels = read_table(spark, folder, "part").select((F.col("p_size") * 10).alias("level")).distinct()
     target = F.least(S.star_cap(F.col("level")), F.lit(22))
     return levels.select("level", V.starforce_summary(F.col("level"), F.lit(0), target)["plain_cost"].cast("long").alias("cost"))
