@@ -42,11 +42,14 @@ def prepare(spark: SparkSession) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder that the cluster shares (``spark.checkpoint.dir``).
 
-    Only where a session names none (tests, a laptop) is a temporary one made.
+    Only where a local session names none (tests, a laptop) is a temporary one made; on a
+    cluster its machines would not share it, so there that is an error.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not (context.master == "local" or context.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the cluster shares")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tallyloom-checkpoint-"))
     return context.getCheckpointDir()
 
