@@ -221,6 +221,37 @@ def recover_stalled(rows: DataFrame, as_of: Column, intact: Column, stale: str =
     return rows.withColumn("status", F.when(late & intact, "PENDING").when(late, "DEAD_LETTER").otherwise(F.col("status")))
 
 
+def read_group(entries: DataFrame, held: DataFrame, entry: str, last: Column | int | None, as_of: Column, count: int, idle: str = "10 minutes") -> DataFrame:
+    """The next ``count`` entries for a consumer of a group, with ``reclaimed``.
+
+    Those that another consumer has ``held`` (entry, consumer, since, times) for ``idle`` or
+    longer without an end come first, by entry; only if there are none come entries after
+    ``last``, the group's last delivered one (all if None). Held entries that are no longer
+    in the log, or have no time, aren't delivered.
+    """
+    late = held.where(F.col("since") <= as_of - F.expr(f"INTERVAL {idle}")).select(F.col(entry).alias("__held"))
+    again = entries.join(late, F.col(entry) == F.col("__held"), "left_semi").orderBy(entry).limit(count)
+    after = F.lit(True) if last is None else F.col(entry) > last
+    fresh = entries.where(after).orderBy(entry).limit(count)
+    either = again.withColumn("reclaimed", F.lit(True)).unionByName(fresh.withColumn("reclaimed", F.lit(False)))
+    # two pages at most
+    return either.withColumn("__any", F.max("reclaimed").over(W.partitionBy())).where("reclaimed = __any").drop("__any")
+
+
+def held_after(held: DataFrame, taken: DataFrame, entry: str, consumer: str, now: Column) -> DataFrame:
+    """The group's ``held`` entries after a consumer has taken some: theirs from ``now`` on, ``times`` counted on."""
+    own = taken.select(F.col(entry).alias("__taken"))
+    joined = held.join(own, F.col(entry) == F.col("__taken"), "full")
+    mine = F.col("__taken").isNotNull()
+    kind = held.schema["since"].dataType
+    return joined.select(
+        F.coalesce(entry, "__taken").alias(entry),
+        F.when(mine, F.lit(consumer)).otherwise(F.col("consumer")).alias("consumer"),
+        F.when(mine, now.cast(kind)).otherwise(F.col("since")).alias("since"),
+        (F.coalesce("times", F.lit(0)) + mine.cast("int")).cast("long").alias("times"),
+    )
+
+
 def bounded_buffer(events: DataFrame, buffer: str, order: list[str], capacity: int = 10_000, action: str = "action", count: str = "n") -> DataFrame:
     """``accepted``: how many of the rows offered to a write-behind buffer it takes; a full one refuses the whole offer.
 

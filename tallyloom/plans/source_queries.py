@@ -282,3 +282,31 @@ def idempotent_claims(spark: SparkSession, folder: str) -> DataFrame:
     action = F.when(F.col("event_type") == "purchase", "DONE").when(F.col("event_type") == "error", "FAIL").otherwise("BEGIN")
     rows = read_table(spark, folder, "events").select("event_id", "user_id", action.alias("action"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("s"))
     return ST.idempotent_claims(rows, "user_id", "s", ttl=43200, tie="event_id").select("event_id", "outcome")
+
+
+@query("group_read", """
+    WITH h AS (SELECT event_id, ts AS since FROM events WHERE event_type = 'error'),
+    late AS (SELECT event_id FROM h WHERE since <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE ORDER BY event_id LIMIT 500),
+    fresh AS (SELECT event_id FROM events WHERE event_id > (SELECT max(event_id) FROM h) ORDER BY event_id LIMIT 500)
+    SELECT event_id, true AS reclaimed FROM late UNION ALL SELECT event_id, false FROM fresh WHERE NOT EXISTS (SELECT 1 FROM late)""")
+def group_read(spark: SparkSession, folder: str) -> DataFrame:
+    """The next 500 events of a group that holds all errors since they came, read at the end of the log."""
+    events = read_table(spark, folder, "events")
+    held = events.where("event_type = 'error'").select("event_id", F.lit("a").alias("consumer"), F.col("ts").alias("since"), F.lit(1).alias("times"))
+    ends = events.agg(F.max("ts").alias("now"), F.max(F.when(F.col("event_type") == "error", F.col("event_id"))).alias("last")).first()
+    return ST.read_group(events, held, "event_id", F.lit(ends["last"]), F.lit(ends["now"]), 500).select("event_id", "reclaimed")
+
+
+@query("group_held_after", """
+    WITH h AS (SELECT event_id, ts AS since FROM events WHERE event_type = 'error'),
+    late AS (SELECT event_id FROM h WHERE since <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE ORDER BY event_id LIMIT 500)
+    SELECT h.event_id, CASE WHEN l.event_id IS NULL THEN 'a' ELSE 'b' END AS consumer,
+           CAST(CASE WHEN l.event_id IS NULL THEN 1 ELSE 2 END AS BIGINT) AS times
+    FROM h LEFT JOIN late l ON l.event_id = h.event_id""")
+def group_held_after(spark: SparkSession, folder: str) -> DataFrame:
+    """Who holds the errors after consumer b has read from that group."""
+    events = read_table(spark, folder, "events")
+    held = events.where("event_type = 'error'").select("event_id", F.lit("a").alias("consumer"), F.col("ts").alias("since"), F.lit(1).alias("times"))
+    ends = events.agg(F.max("ts").alias("now"), F.max(F.when(F.col("event_type") == "error", F.col("event_id"))).alias("last")).first()
+    taken = ST.read_group(events, held, "event_id", F.lit(ends["last"]), F.lit(ends["now"]), 500)
+    return ST.held_after(held, taken, "event_id", "b", F.lit(ends["now"])).select("event_id", "consumer", "times")

@@ -153,20 +153,61 @@ def ingest(raw: DataFrame, store: str, checkpoint: str, dead: str | None = None,
     return merge_stream(raw, write, checkpoint, every)
 
 
-def delta_sync(deltas: DataFrame, store: str, checkpoint: str, key: str = "user_ign") -> StreamingQuery:
-    """Counter deltas (key, delta) summed per batch and added to the stored counts, never below 0."""
-    table = Store(deltas.sparkSession, store)
-
-    def write(batch: DataFrame, number: int, stream: str) -> None:
-        sums = R.merge_deltas(batch, key)
+def _kept_batches(spark: SparkSession, folder: str) -> list[int]:
+    """Numbers of the batches that are kept whole in a folder, oldest first."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(path):
+        return []
+    names = [s.getPath().getName() for s in files.listStatus(path)]
+    whole = [n for n in names if n.startswith("batch=") and files.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{n}/_SUCCESS"))]
+    return sorted(int(n.removeprefix("batch=")) for n in whole)
+
+
+def delta_sync(deltas: DataFrame, store: str, checkpoint: str, key: str = "user_ign", restore: str | None = None) -> StreamingQuery:
+    """Counter deltas (key, delta) summed per batch and added to the stored counts, never below 0.
+
+    A merge that fails stops the stream. With a folder ``restore`` it is compensated
+    instead: the batch's sums are kept there, and each later batch first merges those
+    kept before it, oldest first, each once. Sums kept by the last batch wait for the next.
+    """
+    spark = deltas.sparkSession
+    table = Store(spark, store)
 
+    def adding(sums: DataFrame) -> Callable[[DataFrame | None], DataFrame]:
         def change(old: DataFrame | None) -> DataFrame:
             if old is None:
                 return sums.select(key, F.greatest("delta", F.lit(0)).cast("long").alias("count"))
             joined = old.join(sums, key, "full")
             return joined.select(key, F.greatest(F.coalesce("count", F.lit(0)) + F.coalesce("delta", F.lit(0)), F.lit(0)).cast("long").alias("count"))
 
-        table.merge(number, change, stream)
+        return change
+
+    def write(batch: DataFrame, number: int, stream: str) -> None:
+        sums = R.merge_deltas(batch, key)
+        if restore is None:
+            table.merge(number, adding(sums), stream)
+            return
+        folder, restored = f"{restore.rstrip('/')}/stream={stream}", f"{stream}:restored"
+        log = logging.getLogger(__name__)
+        kept = _kept_batches(spark, folder)
+        for n in kept:
+            path = f"{folder}/batch={n}"
+            try:
+                table.merge(n, adding(spark.read.parquet(path)), restored)
+            except Exception:
+                log.exception("kept batch %s can't be merged", n)
+                break  # the later ones wait for it
+            files, path_of = table._files()
+            files.delete(path_of(path), True)
+        if number in kept or table.ledger().get(restored, -1) >= number:
+            return  # a batch that comes again, kept when it came first
+        try:
+            table.merge(number, adding(sums), stream)
+        except Exception:
+            if table.ledger().get(stream, -1) < number:
+                log.exception("batch %s can't be merged and is kept", number)
+                sums.write.mode("overwrite").parquet(f"{folder}/batch={number}")
 
     return merge_stream(deltas, write, checkpoint)
 

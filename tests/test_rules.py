@@ -231,3 +231,22 @@ def test_yaml_settings():
     assert (found.like_sync_size, found.buffer_limit, found.lenient_mass) == (20, 30, True)
     with pytest.raises(ValueError):
         Settings.from_yaml("unknown: 1")
+
+
+def test_group_reads_idle_entries_first(spark):
+    at = lambda m: f"2024-01-01 00:{m:02d}:00"
+    entries = spark.range(1, 9).withColumnRenamed("id", "e")
+    held = spark.createDataFrame([(1, "a", at(0), 1), (2, "a", at(15), 1), (3, "a", at(10), 2), (4, "a", None, 1), (99, "a", at(0), 1)], "e long, consumer string, since string, times int")
+    held = held.withColumn("since", F.col("since").cast("timestamp"))
+    now = F.lit(at(20)).cast("timestamp")
+    read = lambda rows, last, count: [tuple(r) for r in S.read_group(entries, rows, "e", last, now, count).orderBy("e").collect()]
+    assert read(held, 4, 5) == [(1, True), (3, True)]  # 10 minutes are long enough; 99 has left the log
+    assert read(held, 4, 1) == [(1, True)]
+    assert read(held.where("e in (2, 4)"), 4, 3) == [(5, False), (6, False), (7, False)]
+    assert read(held.limit(0), None, 2) == [(1, False), (2, False)]
+    assert read(held.limit(0), 8, 2) == []
+    taken = S.read_group(entries, held, "e", 4, now, 1)
+    after = {r["e"]: (r["consumer"], r["times"]) for r in S.held_after(held, taken, "e", "b", now).collect()}
+    assert after == {1: ("b", 2), 2: ("a", 1), 3: ("a", 2), 4: ("a", 1), 99: ("a", 1)}
+    fresh = S.held_after(held.limit(0), entries.limit(1), "e", "b", now).collect()
+    assert [(r["e"], r["consumer"], r["times"]) for r in fresh] == [(1, "b", 1)]

@@ -58,6 +58,32 @@ def test_delta_sync(spark, tmp_path):
     assert {r["user_ign"]: r["count"] for r in Store(spark, str(tmp_path / "s")).read().collect()} == {"user1": 7, "user2": 0}
 
 
+def test_delta_sync_keeps_what_cannot_be_merged(spark, tmp_path, monkeypatch):
+    src, args = tmp_path / "in", (str(tmp_path / "s"), str(tmp_path / "cp"), "k", str(tmp_path / "kept"))
+    merge, down = Store.merge, {"on": True}
+
+    def failing(self, batch, change, stream=""):
+        if down["on"]:
+            raise OSError("the store is away")
+        return merge(self, batch, change, stream)
+
+    def run(name, rows):
+        write(src, name, [json.dumps(r) for r in rows])
+        ST.delta_sync(json_stream(spark, src, "k string, delta long"), *args).awaitTermination()
+
+    counts = lambda: {r["k"]: r["count"] for r in Store(spark, args[0]).read().collect()}
+    monkeypatch.setattr(Store, "merge", failing)
+    run("1.json", [{"k": "a", "delta": 5}])
+    run("2.json", [{"k": "a", "delta": 1}, {"k": "b", "delta": 2}])
+    assert Store(spark, args[0]).read() is None
+    down["on"] = False
+    run("3.json", [{"k": "a", "delta": 10}])
+    assert counts() == {"a": 16, "b": 2}
+    run("4.json", [{"k": "b", "delta": 1}])
+    assert counts() == {"a": 16, "b": 3}
+    assert not list((tmp_path / "kept").glob("stream=*/batch=*"))
+
+
 def test_relation_sync(spark, tmp_path):
     src = tmp_path / "in"
     edge = lambda t, a: json.dumps({"target_ocid": t, "liker_account_id": a})
