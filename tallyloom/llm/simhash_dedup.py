@@ -20,7 +20,7 @@ otherwise; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,11 +37,18 @@ SEGMENTS = 16
 #: Cells of more fingerprints give a spanning forest of their links.
 PAIRS_UP_TO = 24
 LOW_BITS = np.uint64(0x5555555555555555)
+#: Which of the pairs of rows (x, y) are near.
+Near = Callable[[np.ndarray, np.ndarray], np.ndarray]
+#: Position of the row that a forest grows from.
+First = Callable[[np.ndarray], int]
 
 
 def shingle_hashes(text: str, size: int) -> list[int]:
     """XXH64 of every shingle of ``size`` words; fewer words are one shingle, none give none."""
-    words = text.encode("utf-8").lower().split()
+    return hashes_of(text.encode("utf-8").lower().split(), size)
+
+
+def hashes_of(words: list[bytes], size: int) -> list[int]:
     if not words:
         return []
     digest = xxhash.xxh64_intdigest
@@ -58,7 +65,11 @@ def fingerprint(text: str, size: int = 4) -> int:
     hashes = shingle_hashes(text, size)
     if not hashes:
         return 0
-    values = np.array(hashes, dtype="<u8")
+    return majority(np.array(hashes, dtype="<u8"))
+
+
+def majority(values: np.ndarray) -> int:
+    """The bits that more than half of the values set."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(values), CHUNK):
         part = values[at : at + CHUNK]
@@ -113,47 +124,60 @@ def linked_in_cells(cell: np.ndarray, fps: np.ndarray, ids: np.ndarray, most_bit
     """Links (a, b) between the ids of one cell, exact; a spanning forest for large cells."""
     order = np.argsort(cell, kind="stable")
     cell, fps, ids = cell[order], fps[order], ids[order]
-    starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
-    sizes = np.diff(np.r_[starts, len(cell)])
-    left, right = [], []
-    some = (sizes > 1) & (sizes <= PAIRS_UP_TO)
+    a, b = link_rows(cell, lambda x, y: np.bitwise_count(fps[x] ^ fps[y]) <= most_bits)
+    return ordered_pairs(ids[a], ids[b])
+
+
+def ordered_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each pair once, the smaller id first."""
+    if not len(a):
+        return a, b
+    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+    return pairs[0], pairs[1]
+
+
+def runs(cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of the runs of equal cells."""
+    starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]) if len(cell) else np.empty(0, np.int64)
+    return starts, np.diff(np.r_[starts, len(cell)])
+
+
+def link_rows(cell: np.ndarray, near: Near, pairs_up_to: int = PAIRS_UP_TO, first: First | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of one cell (sorted) that are ``near``; of cells with more rows a spanning forest, grown from ``first``."""
+    starts, sizes = runs(cell)
+    left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    some = (sizes > 1) & (sizes <= pairs_up_to)
     ahead = np.repeat(np.where(some, starts + sizes, 0), sizes)  # one past the end of the row's cell
     rows = np.flatnonzero(ahead > 0)
-    for gap in range(1, PAIRS_UP_TO):
+    for gap in range(1, pairs_up_to):
         rows = rows[rows + gap < ahead[rows]]
         if not len(rows):
             break
-        near = rows[np.bitwise_count(fps[rows] ^ fps[rows + gap]) <= most_bits]
-        left.append(ids[near])
-        right.append(ids[near + gap])
-    for at in np.flatnonzero(sizes > PAIRS_UP_TO):
-        own = slice(starts[at], starts[at] + sizes[at])
-        a, b = _forest(fps[own], ids[own], most_bits)
+        found = rows[near(rows, rows + gap)]
+        left.append(found)
+        right.append(found + gap)
+    for at in np.flatnonzero(sizes > pairs_up_to):
+        own = np.arange(starts[at], starts[at] + sizes[at])
+        a, b = _forest(own, near, 0 if first is None else first(own))
         left.append(a)
         right.append(b)
-    if not left:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    a, b = np.concatenate(left), np.concatenate(right)
-    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-    return pairs[0], pairs[1]
+    return np.concatenate(left), np.concatenate(right)
 
 
-def _forest(fps: np.ndarray, ids: np.ndarray, most_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links within one cell; memory in proportion to the cell."""
-    left, right = [], []
-    waiting = np.arange(len(fps))
+def _forest(rows: np.ndarray, near: Near, first: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links between ``rows``; memory in proportion to them."""
+    left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    waiting = np.r_[rows[first], np.delete(rows, first)]
     while len(waiting):
         frontier, waiting = [waiting[0]], waiting[1:]
         while frontier and len(waiting):
             pivot = frontier.pop()
-            near = np.bitwise_count(fps[waiting] ^ fps[pivot]) <= most_bits
-            if near.any():
-                found, waiting = waiting[near], waiting[~near]
-                left.append(np.full(len(found), ids[pivot]))
-                right.append(ids[found])
+            linked = near(np.full(len(waiting), pivot), waiting)
+            if linked.any():
+                found, waiting = waiting[linked], waiting[~linked]
+                left.append(np.full(len(found), pivot))
+                right.append(found)
                 frontier += found.tolist()
-    if not left:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
     return np.concatenate(left), np.concatenate(right)
 
 
@@ -191,6 +215,11 @@ def classified(docs: DataFrame, size: int, most_bits: int, id_col: str, text_col
     fps = cut(fingerprints(docs, size, id_col, text_col))
     distinct = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("id"), F.count("*").alias("n")))
     found = components(links_of(distinct.select(F.col("fp").alias("id"), "fp"), most_bits))
+    return with_classes(fps, distinct, found, max_broadcast, hot)
+
+
+def with_classes(fps: DataFrame, distinct: DataFrame, found: DataFrame, max_broadcast: int = 100_000, hot: int = 10_000) -> DataFrame:
+    """``fps`` with component_id and keeper, from the components ``found`` (id, component) of ``distinct`` (fp, id, n)."""
     linked = cut(
         distinct.join(found.withColumnRenamed("id", "__id"), F.col("fp") == F.col("__id"), "left").select(
             "fp", "id", "n", F.coalesce("component", "fp").alias("component")
@@ -223,7 +252,11 @@ def drop_near_duplicates(docs: DataFrame, *, size: int = 4, most_bits: int = 4,
     both its id and its text stay with it. Rows are told apart by id and a hash of the text.
     """
     prepare(docs.sparkSession)
-    found = classified(docs, size, most_bits, id_col, text_col)
+    return first_of_class(docs, classified(docs, size, most_bits, id_col, text_col), id_col, text_col, max_broadcast)
+
+
+def first_of_class(docs: DataFrame, found: DataFrame, id_col: str, text_col: str, max_broadcast: int) -> DataFrame:
+    """The rows of ``docs`` that ``found`` (doc_id, mark, fp, component_id, keeper) lets stay."""
     stays = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("fp") == F.col("keeper"))
     gone = cut(found.where(~stays).select(F.col("doc_id").alias("__gone"), F.col("mark").alias("__mark")).distinct())
     own, mark = F.col(f"`{id_col}`").cast("long"), text_mark(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))

@@ -264,9 +264,9 @@ def test_held_out_documents_of_the_target_score_lower(spark, frame):
 def test_pipeline_against_its_parts(spark):
     import corpus_pipeline
 
-    from tallyloom.llm import line_dedup, quality_rules, simhash_dedup
+    from tallyloom.llm import line_dedup, quality_rules
 
-    from .test_text_operators import brute_classes, brute_fingerprint, brute_lines
+    from .test_text_operators import brute_lines, classes_of, shingle_sets, similar_pairs
 
     folder = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{folder}/documents.parquet")
@@ -278,7 +278,7 @@ def test_pipeline_against_its_parts(spark):
     lined = {d: t for d, _, _, t in brute_lines(rows, 10)}
     assert {r["doc_id"]: (r["text"], r["n_chars"]) for r in second.collect()} == {d: (t, len(t)) for d, t in lined.items()}
     third = corpus_pipeline.near_copies(spark, second, folder)
-    classes = brute_classes({d: brute_fingerprint(t) for d, t in lined.items()}, 4)
+    classes = classes_of(lined, similar_pairs(shingle_sets(lined)))
     assert sorted(r["doc_id"] for r in third.collect()) == sorted(set(classes.values()))
     for stage in (first, second, third):
         assert stage.columns == docs.columns
@@ -291,7 +291,7 @@ def test_pipeline_against_its_parts(spark):
     import hashlib
 
     assert all(r["decoded_sha256"] == hashlib.sha256(lined[r["doc_id"]].encode()).hexdigest() for r in final)
-    assert line_dedup is not None and simhash_dedup is not None
+    assert line_dedup is not None
 
 
 def test_pipeline_on_odd_rows(spark, frame, odd_rows, tmp_path):

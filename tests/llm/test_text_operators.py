@@ -19,7 +19,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tallyloom.llm import bpe, chat_format, line_dedup, quality_rules, secret_scan, simhash_dedup, suffix_dedup, token_count
+from tallyloom.llm import bpe, chat_format, line_dedup, quality_rules, secret_scan, simhash_dedup, simhash_similar, suffix_dedup, token_count
 from tallyloom.llm.common import join_hot
 from tallyloom.llm.components import components
 
@@ -245,6 +245,112 @@ def test_grid_links_lose_nothing(spark, most):
     assert got == brute_classes(unsigned, most)
 
 
+def shingle_sets(rows: dict[int, str], size: int = 5) -> dict[int, frozenset]:
+    """Sets of shingles, told apart by their words; a short text is one shingle."""
+    sets = {}
+    for d, text in rows.items():
+        words = ascii_words(text)
+        sets[d] = frozenset(tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))) if words else frozenset()
+    return sets
+
+
+def ascii_words(text: str | None) -> list[str]:
+    lowered = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    return re.findall(r"[^\x20\x09-\x0D]+", lowered)
+
+
+def similar_pairs(sets: dict[int, frozenset], similarity: float = 0.8) -> set[tuple[int, int]]:
+    """All pairs whose sets are so alike, by counting what they share; sets without shingles are alike."""
+    holders: dict[tuple, list[int]] = {}
+    for d in sorted(sets):
+        for shingle in sets[d] or {()}:
+            holders.setdefault(shingle, []).append(d)
+    shared: dict[tuple[int, int], int] = {}
+    for held in holders.values():
+        for i, a in enumerate(held):
+            for b in held[i + 1 :]:
+                shared[a, b] = shared.get((a, b), 0) + 1
+    size = {d: max(1, len(s)) for d, s in sets.items()}
+    return {(a, b) for (a, b), n in shared.items() if n >= similarity * (size[a] + size[b] - n) - 1e-9}
+
+
+def classes_of(ids, pairs) -> dict[int, int]:
+    least = {d: d for d in ids}
+    moved = True
+    while moved:
+        moved = False
+        for a, b in pairs:
+            m = min(least[a], least[b])
+            if least[a] != m or least[b] != m:
+                least[a] = least[b] = m
+                moved = True
+    return least
+
+
+def test_similar_texts_beside_all_pairs(frame, odd_rows):
+    """Chains, a large group round one origin, short texts, shared passages: the classes of all pairs."""
+    base, passage = prose(55, 260).split(), prose(56, 60)
+    rows = dict(r for r in odd_rows if r[0] is not None)
+    rng = np.random.default_rng(5)
+    for i in range(90):  # each like the origin, hardly like each other
+        words = list(base)
+        for at in rng.choice(260, 4, replace=False).tolist():
+            words[at] = f"w{i}x{at}"
+        rows[1000 + i] = " ".join(words)
+    rows[1500] = " ".join(base)
+    chain = prose(57, 200).split()
+    for i in range(20):
+        chain = [*chain[:-6], *(f"c{i}n{k}" for k in range(6))] if i % 2 else [*(f"b{i}n{k}" for k in range(6)), *chain[6:]]
+        rows[2000 + i] = " ".join(chain)
+    for i in range(40):  # a passage of which each has much, and not enough
+        rows[3000 + i] = f"{passage} {prose(900 + i, 30)}"
+    for i in range(12):
+        rows[4000 + i] = " ".join(prose(1300 + i // 3, 9).split()[: 7 + i % 3])
+    found = simhash_similar.similar_classes(frame(list(rows.items())).repartition(3)).collect()
+    sets = shingle_sets(rows)
+    want = classes_of(rows, similar_pairs(sets))
+    assert {r["doc_id"]: r["component_id"] for r in found} == want
+    assert len({want[1000 + i] for i in range(90)}) == 1 and len({want[3000 + i] for i in range(40)}) == 40
+
+
+@needs_data
+def test_similar_documents_are_found():
+    """Pairs of 0.8 or more on the driver's documents that have a cell in common and may link."""
+    import pyarrow.parquet as pq
+
+    table = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["doc_id", "text"])
+    rows = dict(zip(table["doc_id"].to_pylist(), table["text"].to_pylist(), strict=True))
+    first: dict[frozenset, int] = {}
+    sets = {d: s for d, s in shingle_sets(rows).items() if first.setdefault(s, d) == d}
+    cells, near = {}, simhash_similar.may_link
+    for a, b in similar_pairs(sets):
+        made = [simhash_similar.different_hashes(rows[d].encode().lower().split(), 5) for d in (a, b)]
+        cells[a, b] = bool(set.intersection(*(set(simhash_similar.partial_cells(h, 0.8).tolist()) for h in made)))
+        bits = np.array([simhash_dedup.majority(h) for h in made], np.uint64)
+        cells[a, b] &= bool(near(bits, np.array([len(h) for h in made]), 0.8)(np.array([0]), np.array([1]))[0])
+    assert cells and sum(cells.values()) >= 0.99 * len(cells)
+
+
+@pytest.mark.parametrize("words", [8, 30, 100, 240, 500, 2000])
+def test_recall_at_the_similarity_itself(words):
+    """Sets at 0.8 and hardly above have a cell in common in 0.97 or more of cases."""
+    rng, met = np.random.default_rng(words), 0
+    for _ in range(300):
+        own = rng.integers(0, 2**64, words, dtype=np.uint64)
+        change = int(words * 0.2 / 1.8)
+        other = np.r_[own[change:], rng.integers(0, 2**64, change, dtype=np.uint64)]
+        a, b = (simhash_similar.partial_cells(np.unique(x), 0.8) for x in (own, other))
+        met += bool(np.intersect1d(a, b).size)
+    assert met >= 291
+
+
+def test_unary_counts_give_the_manhattan_distance():
+    rng = np.random.default_rng(2)
+    a, b = rng.integers(0, 2**64, (2, 500), dtype=np.uint64)
+    counts = [np.stack([simhash_dedup.embed(x) >> np.uint64(2 * s) & np.uint64(3) for s in range(32)]).astype(int) for x in (a, b)]
+    assert (np.abs(counts[0] - counts[1]).sum(0) == np.bitwise_count(simhash_similar.unary(a) ^ simhash_similar.unary(b))).all()
+
+
 def test_embedding_is_a_lower_bound():
     rng = np.random.default_rng(1)
     a, b = rng.integers(0, 2**64, (2, 2000), dtype=np.uint64)
