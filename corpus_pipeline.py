@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import bpe, decontaminate, line_dedup, quality_rules, simhash_dedup
+from tallyloom.llm import bpe, decontaminate, line_dedup, quality_rules, simhash_similar
 from tallyloom.session import cut_to_table
 from tallyloom.sources import read_table
 
@@ -31,8 +31,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies, the document of the smallest id stays."""
-    return simhash_dedup.drop_near_duplicates(docs)
+    """Of each group of documents linked by 0.8 or more of their five-word shingles, the smallest id's stays."""
+    return simhash_similar.drop_similar(docs, size=5, similarity=0.8)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
