@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm.common import id_and_text, join_hot, map_texts
-from tallyloom.llm.components import components
+from tallyloom.llm.components import bounded_components
 from tallyloom.llm.simhash_dedup import LOW_BITS, PAIRS_UP_TO, SEED, Near, embed, first_of_class, hashes_of, link_rows, majority, ordered_pairs, runs, text_mark, with_classes
 from tallyloom.session import cut, prepare
 
@@ -47,6 +47,8 @@ EARLY_PAIRS = 4
 #: Different shingles a part holds at least, on average, and parts at least.
 PER_PART = 4
 LEAST_PARTS = 8
+#: Texts to verify that are looked up by a broadcast (32 bytes each); more are by a join.
+MOST_BROADCAST = 500_000
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
@@ -198,7 +200,9 @@ def verified(pairs: DataFrame, distinct: DataFrame, texts: DataFrame, size: int,
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     ends = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).groupBy("fp").agg(F.count("*").alias("w"))
-    needed = distinct.join(ends, "fp").select("fp", "w", F.col("shown.doc_id").alias("__id"), F.col("shown.mark").alias("__mark"))
+    needed = cut(distinct.join(ends, "fp").select("fp", "w", F.col("shown.doc_id").alias("__id"), F.col("shown.mark").alias("__mark")))
+    if needed.count() <= MOST_BROADCAST:
+        needed = F.broadcast(needed)
     shown = texts.join(needed, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("mark") == F.col("__mark")))
     items = shown.select("fp", "w", "text").mapInArrow(sets, "fp long, w long, items binary").dropDuplicates(["fp"])
     table = cut(items.select(F.col("fp").alias("__fp"), F.col("w").alias("__w"), "items"))
@@ -229,7 +233,8 @@ def similar_classes(docs: DataFrame, *, size: int = 5, similarity: float = 0.8,
         pairs = cut(candidates(members, similarity, early, last))
         if pairs.count():
             links = verified(pairs, distinct, texts, size, similarity)
-            found = cut(components(links.union(found.select(F.col("component").alias("a"), F.col("id").alias("b")))))
+            known = found.select(F.col("component").alias("a"), F.col("id").alias("b"))
+            found = cut(bounded_components(cut(links.union(known))))
     return with_classes(made.select("doc_id", "mark", "fp"), distinct.select("fp", "id", "n"), found)
 
 

@@ -21,7 +21,7 @@ from tokenizers import Tokenizer
 
 from tallyloom.llm import bpe, chat_format, line_dedup, quality_rules, secret_scan, simhash_dedup, simhash_similar, suffix_dedup, token_count
 from tallyloom.llm.common import join_hot
-from tallyloom.llm.components import components
+from tallyloom.llm.components import bounded_components, components
 
 from .conftest import SCHEMA, prose
 
@@ -221,8 +221,8 @@ def test_hot_keys_join_apart(spark, how):
 def test_a_star_beyond_the_broadcast(spark):
     links = [(0, i) for i in range(1, 400)] + [(400 + i, 399 - i) for i in range(50)] + [(1000, 1001)]
     df = spark.createDataFrame(links, "a long, b long")
-    for limits in ({}, {"max_broadcast": 0, "hot": 20}):
-        got = {r["id"]: r["component"] for r in components(df, **limits).collect()}
+    for found in (components(df), components(df, max_broadcast=0, hot=20), bounded_components(df), bounded_components(df, 10)):
+        got = {r["id"]: r["component"] for r in found.collect()}
         assert got == dict.fromkeys(range(450), 0) | {1000: 1000, 1001: 1000}
 
 
