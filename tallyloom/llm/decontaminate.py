@@ -1,14 +1,15 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-1. Document frequencies of the benchmark's words are counted over all documents
-   (their passages of ``window`` words) and give the weights: squared logarithms,
+1. Texts are read once into numbers of the benchmark's words, a table in the shared
+   folder that the passes below read. Document frequencies of the words are counted over
+   all documents (their passages of ``window`` words) and give the weights: squared logarithms,
    since passage and item both bring one; words of over a fifth of them weigh nothing.
 2. A latent space of TF-IDF passages is fitted by a distributed randomised SVD: tasks
    sum ``A^T A`` times a random matrix for their passages, the sum is orthogonalised,
    and a second pass gives the small matrix whose eigenvectors turn that basis into
    singular vectors. Divided by their values, so that no language's common words
-   outweigh the rest, they are the space. It is fitted on the passages of the ``sample`` documents with
-   the smallest id hashes, a bounded index sample; every document is searched.
+   outweigh the rest, they are the space. It is fitted on all passages of all documents,
+   those without id too.
 3. Every passage of every document (windows of ``window`` words that overlap by half)
    is projected; items with a cosine of ``least_cosine`` or more are its candidates.
    An item of over one and a half windows is searched by windows of its own too, also
@@ -37,9 +38,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm.common import cut_into, give_back, id_and_text, joined_parts, slices, sum_partials
-from tallyloom.session import cut, prepare
+from tallyloom.session import cut_to_table, prepare
 
 PARTS = 4
+#: Tasks of a pass of the fit that are never joined, however many words the benchmark has.
 FIT_PARTITIONS = 32
 #: Words in a larger share of all passages have no weight.
 STOP_SHARE = 0.2
@@ -98,31 +100,55 @@ def lcs_length(table: dict[int, int], size: int, other: list[int]) -> int:
     return size - row.bit_count()
 
 
-def passage_frequencies(texts: DataFrame, items: Items, window: int) -> tuple[np.ndarray, int]:
+def number_texts(texts: DataFrame, index: dict[bytes, int]) -> DataFrame:
+    """Ids and the word numbers of their texts, packed as 32-bit integers."""
+    shared = texts.sparkSession.sparkContext.broadcast(index)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        for batch in batches:
+            for piece in slices(batch):
+                packed = pa.array([numbers(t, own).tobytes() for t in piece.column("text").to_pylist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), packed], names=["doc_id", "words"])
+        give_back()
+
+    return texts.select("doc_id", "text").mapInArrow(run, "doc_id long, words binary")
+
+
+def passage_rows(piece: pa.RecordBatch, window: int) -> np.ndarray:
+    """The passages of packed texts, sorted word numbers in a row each; -1 past a text's end too."""
+    texts = [np.frombuffer(words, np.int32) for words in piece.column("words").to_pylist()]
+    counts = np.array([-(-len(t) // window) for t in texts], np.int64)
+    rows = np.full((int(counts.sum()), window), -1, np.int32)
+    flat = rows.ravel()
+    for text, first in zip(texts, (np.cumsum(counts) - counts) * window, strict=True):
+        flat[first : first + len(text)] = text
+    rows.sort(axis=1)
+    return rows
+
+
+def run_starts(rows: np.ndarray) -> np.ndarray:
+    """Flat positions where a word of a sorted row is first."""
+    change = np.ones(rows.shape, bool)
+    change[:, 1:] = rows[:, 1:] != rows[:, :-1]
+    return np.flatnonzero(change)
+
+
+def passage_frequencies(numbered: DataFrame, size: int, window: int) -> tuple[np.ndarray, int]:
     """Passages that hold each word of the benchmark, and all passages, over the whole corpus."""
-    shared = texts.sparkSession.sparkContext.broadcast(items.index)
-    size = len(items.index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(size + 1)
-        index = shared.value
         for batch in batches:
             for piece in slices(batch):
-                keys, at = [], 0
-                for text in piece.column("text").to_pylist():
-                    found = numbers(text, index)
-                    if not len(found):
-                        continue
-                    passage = np.arange(len(found)) // window + at
-                    at = int(passage[-1]) + 1
-                    keys.append((passage * size + found)[found >= 0])
-                sums[size] += at
-                if keys:
-                    sums[:size] += np.bincount(np.unique(np.concatenate(keys)) % size, minlength=size)
+                rows = passage_rows(piece, window)
+                word = rows.ravel()[run_starts(rows)]
+                sums[:size] += np.bincount(word[word >= 0], minlength=size)
+                sums[size] += len(rows)
         if sums[size]:
             yield cut_into(sums, PARTS)
 
-    sums = joined_parts(sum_partials(texts.select("text").mapInArrow(run, "part int, data binary"), PARTS), size + 1, PARTS)
+    sums = joined_parts(sum_partials(numbered.select("words").mapInArrow(run, "part int, data binary"), PARTS), size + 1, PARTS)
     return sums[:size], int(sums[size])
 
 
@@ -130,83 +156,81 @@ def passage_frequencies(texts: DataFrame, items: Items, window: int) -> tuple[np
 class Passages:
     """Unit TF-IDF rows of passages, sparse: entries by passage, then word."""
 
-    starts: np.ndarray  # first entry of each passage
+    n: int  # passages, those without entries too
+    row: np.ndarray
     word: np.ndarray
     value: np.ndarray
 
     @classmethod
-    def of(cls, piece: pa.RecordBatch, index: dict[bytes, int], weights: np.ndarray, window: int) -> Passages | None:
-        size, keys, at = len(weights), [], 0
-        for text in piece.column("text").to_pylist():
-            found = numbers(text, index)
-            if len(found):
-                passage = np.arange(len(found)) // window + at
-                at = int(passage[-1]) + 1
-                keys.append((passage * size + found)[(found >= 0) & (weights[found] > 0)])
-        if not keys or not sum(map(len, keys)):
-            return None
-        entry, count = np.unique(np.concatenate(keys), return_counts=True)
-        passage, word = entry // size, entry % size
-        value = count * weights[word]
-        starts = np.flatnonzero(np.r_[True, passage[1:] != passage[:-1]])
-        norms = np.sqrt(np.add.reduceat(value * value, starts))
-        value = (value / np.repeat(norms, np.diff(np.r_[starts, len(entry)]))).astype(np.float32)
-        return cls(starts, word, value)
+    def of(cls, piece: pa.RecordBatch, weights: np.ndarray, window: int) -> Passages:
+        rows = passage_rows(piece, window)
+        starts = run_starts(rows)
+        count, word = np.diff(starts, append=rows.size), rows.ravel()[starts]
+        heavy = (word >= 0) & (weights[word] > 0)
+        row, word = starts[heavy] // window, word[heavy].astype(np.int64)
+        value = count[heavy] * weights[word]
+        norms = np.sqrt(np.bincount(row, value * value, minlength=len(rows)))
+        return cls(len(rows), row, word, value / norms[row])
 
     def project(self, basis: np.ndarray) -> np.ndarray:
-        """The rows times ``basis``."""
-        return np.add.reduceat(basis[self.word] * self.value[:, None], self.starts, axis=0)
-
-    def back(self, projected: np.ndarray, size: int) -> np.ndarray:
-        """The transposed rows times ``projected``: words x rank."""
-        sizes = np.diff(np.r_[self.starts, len(self.word)])
-        row = np.repeat(np.arange(len(sizes)), sizes)
-        order = np.argsort(self.word, kind="stable")
-        word = self.word[order]
-        first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
-        out = np.zeros((size, projected.shape[1]))
-        out[word[first]] = np.add.reduceat(projected[row[order]] * self.value[order, None], first, axis=0)
-        return out
+        """``basis`` (rank x words) times the transposed rows: rank x passages."""
+        return np.stack([np.bincount(self.row, own[self.word] * self.value, minlength=self.n) for own in basis])
 
+    def add_back(self, projected: np.ndarray, total: np.ndarray) -> None:
+        """Add ``projected`` times the rows to ``total`` (rank x words)."""
+        some, word = np.unique(self.word, return_inverse=True)
+        for own, sums in zip(projected, total, strict=True):
+            sums[some] += np.bincount(word, own[self.row] * self.value, minlength=len(some))
 
-def randomised_svd(texts: DataFrame, index: dict[bytes, int], weights: np.ndarray, *, rank: int, window: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
-    """Right singular vectors (words x rank) and singular values of the TF-IDF passages.
+
+def passage_svd(numbered: DataFrame, weights: np.ndarray, *, rank: int, window: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+    """Right singular vectors (words x rank) and singular values of the TF-IDF passages of packed texts.
 
     Tasks send sums of words x rank numbers, whatever the number of passages.
     """
     size = len(weights)
     rank = min(rank, size)
-    context = texts.sparkSession.sparkContext
-    shared = context.broadcast((index, weights))
+    context = numbered.sparkSession.sparkContext
+    shared = context.broadcast(weights)
 
     def summed(basis: np.ndarray, small: bool) -> np.ndarray:
-        own_basis = context.broadcast(basis.astype(np.float32))
-        shape = (rank, rank) if small else (size, rank)
+        own_basis = context.broadcast(basis.T.astype(np.float32))
+        shape = (rank, rank) if small else (rank, size)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros(shape)
-            own_index, own_weights = shared.value
+            across, own_weights = np.ascontiguousarray(own_basis.value, np.float64), shared.value
             some = False
             for batch in batches:
                 for piece in slices(batch, 1 << 20):
-                    rows = Passages.of(piece, own_index, own_weights, window)
-                    if rows is not None:
-                        projected = rows.project(own_basis.value)
-                        total += projected.T @ projected if small else rows.back(projected, size)
+                    rows = Passages.of(piece, own_weights, window)
+                    if len(rows.word):
+                        projected = rows.project(across)
+                        if small:
+                            total += projected @ projected.T
+                        else:
+                            rows.add_back(projected, total)
                         some = True
             if some:
                 yield cut_into(total.ravel(), PARTS)
+            give_back()
 
-        partials = texts.select("text").mapInArrow(run, "part int, data binary")
+        partials = numbered.select("words").mapInArrow(run, "part int, data binary")
         return joined_parts(sum_partials(partials, PARTS), shape[0] * shape[1], PARTS).reshape(shape)
 
     basis = np.random.default_rng(seed).standard_normal((size, rank))
-    basis = np.linalg.qr(summed(basis, small=False))[0]
+    basis = np.linalg.qr(summed(basis, small=False).T)[0]
     values, vectors = np.linalg.eigh(summed(basis, small=True))
     order = np.argsort(values)[::-1]
     return basis @ vectors[:, order], np.sqrt(np.maximum(values[order], 0))
 
 
+def randomised_svd(texts: DataFrame, index: dict[bytes, int], weights: np.ndarray, *, rank: int, window: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+    """``passage_svd`` of the column ``text``."""
+    numbered = number_texts(texts.select(F.lit(0).cast("long").alias("doc_id"), "text"), index)
+    return passage_svd(numbered, weights, rank=rank, window=window, seed=seed)
+
+
 def item_queries(words: list[list[int]], window: int) -> list[tuple[int, int | None, list[int]]]:
     """(item, first word, words) to search by: every item whole (no first word), long ones in windows too."""
     found: list[tuple[int, int | None, list[int]]] = []
@@ -287,8 +311,11 @@ class Searcher:
         return item, max(0, at - first - slack), at - first + size + slack, cosine
 
     def matches(self, text: str) -> list[tuple]:
+        """``matches_in`` of a text."""
+        return self.matches_in(numbers(text, self.items.index))
+
+    def matches_in(self, found: np.ndarray) -> list[tuple]:
         """(item id, cosine, lcs, answer lcs, first and past-the-last word), best of each item's stretches that meet the rule."""
-        found = numbers(text, self.items.index)
         if not len(found):
             return []
         window = int(self.limits["window"])
@@ -321,7 +348,7 @@ class Searcher:
         return out
 
 
-def fitted_search(
+def numbered_and_search(
     docs: DataFrame,
     benchmark: DataFrame,
     id_col: str,
@@ -329,14 +356,13 @@ def fitted_search(
     *,
     rank: int = 128,
     window: int = 40,
-    sample: int = 10_000,
     least_cosine: float = 0.4,
     sure: float = 0.8,
     likely: float = 0.6,
     answer: int = 8,
     most_items: int = 50_000,
-) -> Callable[[], Searcher] | None:
-    """What makes a task's searcher, with the space fitted; None for a benchmark without words.
+) -> tuple[DataFrame, Callable[[], Searcher]] | None:
+    """Packed texts (``number_texts``) and what makes a task's searcher, with the space fitted; None for a benchmark without words.
 
     The benchmark is a query set of ``most_items`` items at most (an error past that).
     """
@@ -348,39 +374,47 @@ def fitted_search(
     texts = id_and_text(docs, id_col, text_col)
     if not items.ids:
         return None
-    held, passages = passage_frequencies(texts, items, window)
+    numbered = cut_to_table(number_texts(texts, items.index), "word_numbers")
+    held, passages = passage_frequencies(numbered, len(items.index), window)
     weights = np.square(np.log((1.0 + passages) / (1.0 + held)))
     weights[held > STOP_SHARE * passages] = 0
-    chosen = texts.where("doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    # ``sample`` ids at most; few partitions, since each sends sums of words x rank numbers
-    fitted = cut(texts.join(F.broadcast(chosen), "doc_id").select("text")).coalesce(FIT_PARTITIONS)
-    basis, values = randomised_svd(fitted, items.index, weights, rank=rank, window=window)
+    # a task sends words x rank numbers of 8 bytes: no more tasks than read as much, but one for every core
+    tasks = max(FIT_PARTITIONS, spark.sparkContext.defaultParallelism, 4 * window * passages // (8 * rank * len(items.index)))
+    basis, values = passage_svd(numbered.coalesce(tasks), weights, rank=rank, window=window)
     basis = basis / np.maximum(values, 1e-3 * max(1e-9, values.max(initial=0.0)))
     limits = {"window": window, "least_cosine": least_cosine, "sure": sure, "likely": likely, "answer": answer}
     shared = spark.sparkContext.broadcast((items, weights, basis.astype(np.float32)))
-    return lambda: Searcher(*shared.value, **limits)
+    return numbered, lambda: Searcher(*shared.value, **limits)
+
+
+def fitted_search(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, **limits) -> Callable[[], Searcher] | None:
+    """What makes a task's searcher: see ``numbered_and_search``."""
+    found = numbered_and_search(docs, benchmark, id_col, text_col, **limits)
+    return found and found[1]
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
-    """One row per document and item that it leaks: see ``MATCH`` for the columns and ``fitted_search`` for the limits.
+    """One row per document and item that it leaks: see ``MATCH`` for the columns and ``numbered_and_search`` for the limits.
 
     ``lcs`` and ``answer_lcs`` are shares of the item's words and of its answer's.
     """
-    search = fitted_search(docs, benchmark, id_col, text_col, **limits)
-    if search is None:
+    fitted = numbered_and_search(docs, benchmark, id_col, text_col, **limits)
+    if fitted is None:
         return docs.sparkSession.createDataFrame([], MATCH)
+    numbered, search = fitted
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         searcher = search()
         schema = pa.schema([(c.split()[0], pa.int64() if c.endswith("long") else pa.float64()) for c in MATCH.split(", ")])
         for batch in batches:
             for piece in slices(batch):
-                out = [(doc, *m) for doc, text in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), strict=True) for m in searcher.matches(text)]
+                rows = zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), strict=True)
+                out = [(doc, *m) for doc, words in rows for m in searcher.matches_in(np.frombuffer(words, np.int32))]
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
         give_back()
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, MATCH)
+    return numbered.mapInArrow(run, MATCH)
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:

@@ -166,6 +166,43 @@ def test_many_items_in_blocks(spark, frame, monkeypatch):
     assert [search().matches(t) for t in texts] == want and all(want)
 
 
+def test_the_space_is_fitted_on_all_documents(spark):
+    """The space of 10,400 documents, some without id, is that of all their passages, not of the first 10,000 by a hash."""
+    rng = random.Random(4)
+    words, others = ["ab", "cd", "ef", "gh", "ij"], [f"w{i}" for i in range(100)]
+    texts = [" ".join(rng.choices(words + others, k=12)) for _ in range(10_400)]
+    docs = spark.createDataFrame([(i if i % 50 else None, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    searcher = decontaminate.fitted_search(docs, benchmark, "doc_id", "text")()
+    rows = np.array([[t.split().count(w) for w in words] for t in texts], float)
+    weights = np.square(np.log((1 + len(texts)) / (1 + (rows > 0).sum(axis=0))))
+    rows *= weights
+    rows /= np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-9)
+    # whatever the signs and the turns of the basis: W V S^-2 V^T W
+    want = np.diag(weights) @ np.linalg.inv(rows.T @ rows) @ np.diag(weights)
+    got = searcher.projection.astype(float)
+    assert got @ got.T == pytest.approx(want, abs=2e-3 * want.max())
+
+
+@pytest.fixture(scope="module")
+def rare_leaks(spark):
+    """10,100 documents of which those with the largest id hashes, and two without id, alone have the words of items 20 to 24."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(5)
+    words = [f"a{i}" for i in range(400)]
+    items = [(i, " ".join(words[20 * i : 20 * i + 20])) for i in range(20)] + [(i, " ".join(f"b{i}x{k}" for k in range(30))) for i in range(20, 25)]
+    ids = [r["id"] for r in spark.range(10_098).orderBy(F.xxhash64("id"), "id").collect()]
+    leaks = {(ids[-3], 20), (ids[-2], 21), (ids[-1], 22), (None, 23), (None, 24)}
+    docs = [(d, " ".join(rng.choices(words, k=30))) for d in ids[:-3]] + [(d, f"some words {items[i][1]} and more") for d, i in leaks]
+    return spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), leaks
+
+
+def test_words_of_a_few_documents_are_searched(rare_leaks):
+    docs, benchmark, leaks = rare_leaks
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(docs, benchmark).collect()} == leaks
+
+
 # --- 10: LM scoring -----------------------------------------------------------------
 
 
