@@ -297,6 +297,16 @@ def test_held_out_documents_of_the_target_score_lower(spark, frame):
 # --- the pipeline and the queries -----------------------------------------------------
 
 
+def test_pipeline_drops_leaks_of_a_few_documents(spark, rare_leaks, tmp_path):
+    import corpus_pipeline
+
+    docs, benchmark, leaks = rare_leaks
+    benchmark.write.parquet(f"{tmp_path}/benchmark.parquet")
+    kept = corpus_pipeline.decontamination(spark, docs, str(tmp_path))
+    leaking = {d for d, _ in leaks}
+    assert sorted(r["doc_id"] for r in kept.select("doc_id").collect()) == sorted(i for i in range(10_098) if i not in leaking)
+
+
 @needs_data
 def test_pipeline_against_its_parts(spark):
     import corpus_pipeline
